@@ -10,9 +10,9 @@ from itertools import chain
 import numpy as np
 
 #: Words kept per worker; beyond that a cache starts afresh, so that memory stays bounded.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 #: Ids kept per worker, so that very long words are bounded too.
-CACHE_IDS = 8_000_000
+CACHE_IDS = 2_000_000
 
 
 #: The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the rest from U+0100 on.
