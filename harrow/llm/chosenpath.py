@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from harrow.llm.common import packed, staged, table, unpacked
-from harrow.llm.graph import components
+from harrow.operators.components import components
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -312,7 +312,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
         here = steps.where(F.col("level") == level)
         if split is not None:  # only what is in a large node goes on
             here = here.join(split.select(F.col("node").alias("parent")), "parent")
-        here = here.select("rep", "node").distinct()
+        here = staged(here.select("rep", "node").distinct(), "steps")
         sizes = staged(here.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "nodes")
         last = level == levels
         done = here.join(sizes if last else sizes.where(F.col("n") <= few), "node").select("rep", "node", "n")

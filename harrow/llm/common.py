@@ -2,74 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from harrow.staging import drop_staged, shared_dir, staged
+
+__all__ = ["attach", "drop_staged", "packed", "shared_dir", "staged", "table", "unpacked", "with_column"]
+
 #: A side is broadcast only if a count proves that it has at most this many rows.
 BROADCAST_ROWS = 10_000
 #: Ways in which a hot join key is dealt out when the other side is too large to broadcast.
 SALTS = 32
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one is made only where none is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jdir.isDefined():
-            path = jdir.get()
-        else:
-            path = "file://" + tempfile.mkdtemp(prefix="harrow-checkpoint-")
-            spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-@contextmanager
-def _shuffle_files_dropped(spark: SparkSession):
-    """Shuffle files of a finished write go at once, so that stages do not add up on disk."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read back: lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/harrow/{name}-{uuid.uuid4().hex}"
-    with _shuffle_files_dropped(spark):
-        df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._harrow_path = path
-    return out
-
-
-def drop_staged(*frames: DataFrame) -> None:
-    """Delete staged tables that no later plan reads."""
-    for df in frames:
-        path = getattr(df, "_harrow_path", None)
-        if path:
-            jvm = df.sparkSession.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def attach(df: DataFrame, small: DataFrame, key: str, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Left join of ``small`` (unique in ``key``): broadcast if counted small, else salted."""
     if small.limit(limit + 1).count() <= limit:

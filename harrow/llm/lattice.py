@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harrow.llm.common import staged, table
-from harrow.llm.graph import components
+from harrow.operators.components import components
 
 COSINE = 0.98
 TABLES = 10
