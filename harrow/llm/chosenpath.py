@@ -46,7 +46,7 @@ LEVELS = 3
 #: Sets in a node that are compared at once, and sets in a block of a crowded node.
 FEW, CROWD = 48, 512
 #: Bits of the sketch, and how many standard deviations it may err.
-SKETCH_WORDS, SIGMAS = 8, 5.0
+SKETCH_WORDS, SIGMAS = 4, 5.0
 _WORD = re.compile(r"[^\W_]+")
 _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
