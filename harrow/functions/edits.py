@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from harrow.functions import constants as K
 from harrow.functions.normalize import ColumnOrName, casefold, text
+from harrow.functions.structs import struct_of
 
 # What an edit may change, and by how much.
 PERCENT = ((r"(?i)\b(yüzde)\s+(\d{1,3}(?:[.,]\d+)?)", 2), (r"(?<!\w)%\s*(\d{1,3}(?:[.,]\d+)?)", 1), (r"\b(\d{1,3}(?:[.,]\d+)?)\s*%", 1))
@@ -125,7 +126,7 @@ def counterfactual(source: str | None, record_id: str | None) -> Edit | None:
     return None
 
 
-@F.pandas_udf(EDIT_SCHEMA)
+@F.pandas_udf(struct_of(EDIT_SCHEMA))
 def counterfactual_udf(source: pd.Series, record_id: pd.Series) -> pd.DataFrame:
     rows = [counterfactual(t, r) or (None,) * 5 for t, r in zip(source, record_id, strict=True)]
     return pd.DataFrame(rows, columns=[x.split()[0] for x in EDIT_SCHEMA.split(", ")], dtype="object")
@@ -192,7 +193,7 @@ def difference(a: str | None, b: str | None, around: int = 8, contexts: int = 5)
     return match.ratio(), changed, removed, added, changed / max(len(x), len(y), 1), kinds, gone, new, near
 
 
-@F.pandas_udf(DIFF_SCHEMA)
+@F.pandas_udf(struct_of(DIFF_SCHEMA))
 def difference_udf(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([difference(x, y) for x, y in zip(a, b, strict=True)], columns=[x.split()[0] for x in DIFF_SCHEMA.split(", ")])
 
@@ -204,6 +205,6 @@ def folded_difference(a: str | None, b: str | None) -> tuple[float, int]:
     return match.ratio(), sum(max(j - i, m - k) for kind, i, j, k, m in match.get_opcodes() if kind != "equal")
 
 
-@F.pandas_udf("similarity double, changed int")
+@F.pandas_udf(struct_of("similarity double, changed int"))
 def folded_difference_udf(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([folded_difference(x, y) for x, y in zip(a, b, strict=True)], columns=["similarity", "changed"])

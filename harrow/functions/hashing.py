@@ -7,8 +7,9 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from harrow.functions.normalize import ColumnOrName, text, word_list
+from harrow.functions.normalize import ColumnOrName, text
 
 SHINGLE, MOST_SHINGLES = 3, 64
 BANDS, BAND_BITS = 4, 16
@@ -16,13 +17,13 @@ BANDS, BAND_BITS = 4, 16
 SECOND_SEED = bytes.fromhex("C3C05F01")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def blake2b_128(s: pd.Series) -> pd.Series:
     """16-byte BLAKE2b digest, in hexadecimal."""
     return s.map(lambda x: None if x is None else hashlib.blake2b(x.encode(), digest_size=16).hexdigest())
 
 
-@F.pandas_udf("decimal(20,0)")
+@F.pandas_udf(T.DecimalType(20, 0))
 def blake2b_rank(s: pd.Series) -> pd.Series:
     """8-byte BLAKE2b digest as an unsigned number."""
     from decimal import Decimal
@@ -56,19 +57,29 @@ def shingles(words: Column, size: int = SHINGLE, most: int = MOST_SHINGLES) -> C
 
 
 def simhash_of(features: Column) -> Column:
-    """A bit is set if at least half of the features' hashes have it set."""
-    hashes = F.transform(features, feature_hash)
-    n = F.size(features)
-    zero = F.array_repeat(F.lit(0), 64)
-    bits = F.sequence(F.lit(0), F.lit(63))
-    ones = F.aggregate(hashes, zero, lambda acc, h: F.transform(acc, lambda count, i: count + F.getbit(h, i).cast("int")))
-    chosen = F.zip_with(ones, bits, lambda c, i: F.when(c * 2 >= n, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return F.when(n == 0, F.lit(0).cast("long")).otherwise(F.aggregate(chosen, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)))
-
+    """A bit is set if at least half of the features' hashes have it set.
 
-def simhash(c: ColumnOrName, form: bool = True) -> Column:
-    """64-bit SimHash of a text's word shingles, as a bit pattern."""
-    return simhash_of(shingles(word_list(c, form)))
+    Eight bits are counted at once: a table spreads a byte's bits over the bytes of
+    a word, and words add up as long as there are fewer than 256 features, which
+    should be a column and not an expression.
+    """
+    n = F.size(features)
+    spread = F.array(*[F.lit(sum(1 << (8 * j) for j in range(8) if b >> j & 1)).cast("long") for b in range(256)])
+    zero = F.struct(*[F.lit(0).cast("long").alias(f"c{k}") for k in range(8)])
+
+    def add(acc: Column, h: Column) -> Column:
+        byte = [F.shiftrightunsigned(h, 8 * k).bitwiseAND(F.lit(255)).cast("int") for k in range(8)]
+        return F.struct(*[(acc[f"c{k}"] + F.get(spread, byte[k])).alias(f"c{k}") for k in range(8)])
+
+    def pack(acc: Column) -> Column:
+        out = F.lit(0).cast("long")
+        for k in range(8):
+            for j in range(8):
+                count = F.shiftrightunsigned(acc[f"c{k}"], 8 * j).bitwiseAND(F.lit(255))
+                out = out.bitwiseOR(F.when(count * 2 >= n, F.shiftleft(F.lit(1).cast("long"), 8 * k + j)).otherwise(F.lit(0).cast("long")))
+        return out
+
+    return F.when(n == 0, F.lit(0).cast("long")).otherwise(F.aggregate(F.transform(features, feature_hash), zero, add, pack))
 
 
 def hex64(h: Column) -> Column:

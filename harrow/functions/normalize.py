@@ -14,6 +14,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from harrow.functions import constants as K
 
@@ -29,17 +30,17 @@ def text(c: ColumnOrName) -> Column:
     return F.coalesce(col(c), F.lit(""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or unicodedata.is_normalized("NFKC", x) else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unmarked(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or x.isascii() else "".join(ch for ch in unicodedata.normalize("NFKD", x) if unicodedata.category(ch) != "Mn"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescaped(s: pd.Series) -> pd.Series:
     return s.map(lambda x: html.unescape(x) if x and "&" in x else x)
 

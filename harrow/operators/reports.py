@@ -89,8 +89,13 @@ def pattern_report(df: DataFrame, groups: list[str], text: str, patterns: dict[s
 
 
 def word_ngrams(words: Column, lengths: tuple[int, ...] = (1, 2, 3)) -> Column:
-    """The distinct n-grams of a list of words."""
-    every = [F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i, n=n: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>")) for n in lengths]
+    """The distinct n-grams of a list of words, which should be a column and not an expression."""
+    def grams(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
+        found = F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+        return F.when(F.size(words) >= n, found).otherwise(F.array().cast("array<string>"))
+
+    every = [grams(n) for n in lengths]
     return F.array_distinct(F.flatten(F.array(*every)))
 
 
@@ -100,11 +105,11 @@ def discriminative_ngrams(df: DataFrame, group: str, text: str, top: int = 30, l
     Document frequencies are reduced before the shuffle, and the groups' sizes are few.
     """
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(f"({pattern})"), F.lit(1))
-    rows = df.where(F.col(group).isNotNull())
+    rows = df.where(F.col(group).isNotNull()).select(group, words.alias("_words"))
     sizes = rows.groupBy(group).agg(F.count("*").alias("group_docs"))
     every = F.sum("group_docs").over(Window.partitionBy())
     sizes = sizes.withColumn("other_docs", every - F.col("group_docs")).withColumn("all_docs", every).where((F.col("group_docs") >= least_docs) & (F.col("other_docs") >= least_docs))
-    counts = rows.select(group, F.explode(word_ngrams(words)).alias("ngram")).groupBy("ngram", group).agg(F.count("*").alias("group_df"))
+    counts = rows.select(group, F.explode(word_ngrams(F.col("_words"))).alias("ngram")).groupBy("ngram", group).agg(F.count("*").alias("group_df"))
     totals = counts.groupBy("ngram").agg(F.sum("group_df").alias("all_df"))
     joined = counts.join(totals, "ngram").join(sizes, group)
     least_df = F.greatest(F.lit(2), F.least(F.lit(20), F.round(0.001 * F.col("all_docs"))))
