@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-import json
 import os
+import re
 from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
 
-#: Words kept per worker; beyond that a cache starts afresh, so that memory stays bounded.
-CACHE_WORDS = 250_000
-#: Ids kept per worker, so that very long words are bounded too.
-CACHE_IDS = 2_000_000
+#: Words and ids kept per worker; beyond that a cache starts afresh, so that memory stays bounded.
+CACHE_WORDS, CACHE_IDS = 500_000, 4_000_000
+#: Characters at which the quick splitter and the vocabulary file's own might part: those beyond
+#: U+024F, which composition may touch, numbers that are no digits, and separators of old.
+_ODD = re.compile("[^\x00-\u024f]|[\x1c-\x1f\x85²³¹¼½¾]")
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+#: The vocabulary file's pattern for all other texts: contractions, letters, single digits, the rest.
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+").findall
 
 
 #: The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the rest from U+0100 on.
@@ -70,59 +74,27 @@ def byte_bpe_encoder(json_path: str | None = None, rank_path: str | None = None)
 
 
 class WordEncoder:
-    """Texts -> ids of a vocabulary whose words end at white space.
+    """Texts -> ids of a vocabulary that drops white space and merges within words.
 
-    Such a vocabulary drops white space before it merges, so a text's ids are
-    those of its space-separated words in order. Distinct words are encoded once
-    and the ids of a batch are gathered from them.
+    Words are encoded once and kept; the ids of a batch are gathered from them. A
+    text with an odd character goes through the whole tokenizer.
     """
 
     def __init__(self, path: str | None = None):
-        import regex
-
-        path = path or public_path("word_bpe_49k.json")
-        self.tokenizer = load_tokenizer(path)
-        with open(path, encoding="utf-8") as file:
-            self.split = regex.compile(next(x["pattern"]["Regex"] for x in json.load(file)["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")).findall
+        self.tokenizer = load_tokenizer(path or public_path("word_bpe_49k.json"))
         self._reset()
 
     def _reset(self) -> None:
         self.code: dict[str, int] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.n = self.used = 0
         self.length = np.zeros(1 << 16, np.int64)
         self.start = np.zeros(1 << 16, np.int64)
         self.ids = np.zeros(1 << 18, np.uint32)
-        self.used = 0
-
-    def _ids(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word. Words below U+0250, which NFC leaves alone and which are
-        lowered letter by letter, are split here by the vocabulary file's own
-        pattern; all others go through the whole tokenizer."""
-        pieces, model, split, known = self.pieces, self.tokenizer.model, self.split, self.pieces.get
-        found: list = []
-        slow: list[tuple[int, str]] = []
-        for word in words:
-            if word.isascii() or max(word) < "\u0250":
-                ids: list[int] = []
-                for piece in split(word.lower()):
-                    got = known(piece)
-                    if got is None:
-                        as_bytes = piece if piece.isalpha() and piece.isascii() else piece.encode().decode("latin-1").translate(_BYTES)
-                        got = pieces[piece] = [t.id for t in model.tokenize(as_bytes)]
-                    ids += got
-                found.append(ids)
-            else:
-                slow.append((len(found), word))
-                found.append(None)
-        if slow:
-            for (i, _), e in zip(slow, self.tokenizer.encode_batch_fast([w for _, w in slow], add_special_tokens=False), strict=True):
-                found[i] = e.ids
-        return found
-
-    def _add(self, words: list[str]) -> None:
-        found = self._ids(words)
+
+    def _keep(self, found: list[list[int]]) -> range:
+        """Codes for some lists of ids."""
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        first, n = len(self.code), len(self.code) + len(words)
+        first, n = self.n, self.n + len(found)
         while n > len(self.length):
             self.length, self.start = np.resize(self.length, 2 * len(self.length)), np.resize(self.start, 2 * len(self.start))
         total = int(sizes.sum())
@@ -131,24 +103,31 @@ class WordEncoder:
         self.ids[self.used : self.used + total] = list(chain.from_iterable(found))
         self.length[first:n] = sizes
         self.start[first:n] = self.used + np.cumsum(sizes) - sizes
-        self.used += total
-        self.code.update(zip(words, range(first, n), strict=True))
+        self.n, self.used = n, self.used + total
+        return range(first, n)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in order, number of ids of each text)."""
-        if len(self.code) > CACHE_WORDS or self.used > CACHE_IDS:
+        if self.n > CACHE_WORDS or self.used > CACHE_IDS:
             self._reset()
-        per_text = [text.replace("\n", " ").split(" ") for text in texts]
-        words = [w for x in per_text for w in x]
-        get = self.code.get
-        new = list({w for w in words if w not in self.code})
+        odd = {i for i, t in enumerate(texts) if not t.isascii() and _ODD.search(t) or t.isascii() and _SEPARATORS.search(t)}
+        pieces = [[] if i in odd else _PIECES(t.lower()) for i, t in enumerate(texts)]
+        every = list(chain.from_iterable(pieces))
+        code, model = self.code, self.tokenizer.model
+        new = [w for w in dict.fromkeys(every) if w not in code]
         if new:
-            self._add(new)
-        codes = np.fromiter(map(get, words), np.int64, len(words))
+            as_bytes = [w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES) for w in new]
+            code.update(zip(new, self._keep([[t.id for t in model.tokenize(b)] for b in as_bytes]), strict=True))
+        counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        codes = np.fromiter(map(code.__getitem__, every), np.int64, len(every))
+        if odd:
+            at = sorted(odd)
+            whole = self._keep([e.ids for e in self.tokenizer.encode_batch_fast([texts[i] for i in at], add_special_tokens=False)])
+            codes = np.insert(codes, np.cumsum(counts)[at], list(whole))
+            counts[at] = 1
         sizes = self.length[codes]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
-        at = np.repeat(self.start[codes] - (ends - sizes), sizes) + np.arange(total)
-        counts = np.fromiter(map(len, per_text), np.int64, len(per_text))
+        gather = np.repeat(self.start[codes] - (ends - sizes), sizes) + np.arange(total)
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        return self.ids[at], np.diff(bounds)
+        return self.ids[gather], np.diff(bounds)
