@@ -35,6 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from harrow.llm.cells import by_cell, first_shared, padded, pairs
 from harrow.llm.common import packed, staged, table, unpacked
 from harrow.operators.components import components
 
@@ -136,72 +137,6 @@ def _pathed(batches: Iterator[pa.RecordBatch], words: int, runs: int, levels: in
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(parents, pa.list_(pa.int64())), pa.array(nodes, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32())), batch.column(2)], ["_id", "rep", "size", "sketch", "parents", "nodes", "levels", "_hash"])
 
 
-def _by_cell(frames: Iterator[pd.DataFrame], cell: list[str]) -> Iterator[pd.DataFrame]:
-    """Whole cells from a partition that is sorted by ``cell``, many at a time."""
-    held: list[pd.DataFrame] = []
-    for frame in frames:
-        if not len(frame):
-            continue
-        keys = frame[cell].to_numpy()
-        changes = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1))
-        if held and (keys[0] != held[-1][cell].to_numpy()[-1]).any():
-            yield pd.concat(held, ignore_index=True)
-            held = []
-        if len(changes):
-            cut = int(changes[-1]) + 1
-            yield pd.concat([*held, frame.iloc[:cut]], ignore_index=True)
-            held = [frame.iloc[cut:]]
-        else:
-            held.append(frame)
-    if held:
-        yield pd.concat(held, ignore_index=True)
-
-
-def _pairs(frame: pd.DataFrame, cell: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows within each cell, some cells at a time; in a cell of two blocks, pairs across them."""
-    keys = frame[cell].to_numpy()
-    starts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(frame)]])
-    side = frame["side"].to_numpy()
-    left, right, waiting = [], [], 0
-    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-        if side[a:b].any():
-            i, j = a + np.flatnonzero(side[a:b] == 1), a + np.flatnonzero(side[a:b] == 2)
-            p, q = np.repeat(i, len(j)), np.tile(j, len(i))
-        else:
-            p, q = np.triu_indices(b - a, 1)
-            p, q = p + a, q + a
-        left.append(p)
-        right.append(q)
-        waiting += len(p)
-        if waiting > 100_000:
-            yield np.concatenate(left), np.concatenate(right)
-            left, right, waiting = [], [], 0
-    if left:
-        yield np.concatenate(left), np.concatenate(right)
-
-
-def _first_shared(lists: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """The first node (in ascending order, 0 for none) that both rows' padded lists hold."""
-    out = np.zeros(len(p), np.int64)
-    open_ = np.arange(len(p))
-    for col in range(lists.shape[1]):
-        if not len(open_):
-            break
-        k = lists[p[open_], col]
-        hit = (k != 0) & (lists[q[open_]] == k[:, None]).any(axis=1)
-        out[open_[hit]] = k[hit]
-        open_ = open_[~hit]
-    return out
-
-
-def _padded(column: pd.Series) -> np.ndarray:
-    width = max(map(len, column), default=0)
-    out = np.zeros((len(column), width), np.int64)
-    for i, x in enumerate(column):
-        out[i, : len(x)] = x
-    return out
-
-
 _CELL = ["node", "a", "b"]
 
 
@@ -210,19 +145,19 @@ def _possible(frames: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.D
     bits = SKETCH_WORDS * 64
     share = (1.0 - threshold) / 2.0
     most = bits * share + SIGMAS * math.sqrt(bits * share * (1.0 - share))
-    for frame in _by_cell(frames, _CELL):
+    for frame in by_cell(frames, _CELL):
         sizes = frame["size"].to_numpy()
         marks = np.frombuffer(b"".join(frame["sketch"]), _U).reshape(len(frame), SKETCH_WORDS)
-        lists, node = _padded(frame["shared"]), frame["node"].to_numpy()
+        lists, node = padded(frame["shared"]), frame["node"].to_numpy()
         needed = np.zeros(len(frame), bool)
-        for p, q in _pairs(frame, _CELL):
+        for p, q in pairs(frame, _CELL):
             keep = np.minimum(sizes[p], sizes[q]) >= threshold * np.maximum(sizes[p], sizes[q])
             p, q = p[keep], q[keep]
             keep = np.bitwise_count(marks[p] ^ marks[q]).sum(axis=1, dtype=np.int64) <= most
             p, q = p[keep], q[keep]
             for s in range(0, len(p), 1 << 15):
                 x, y = p[s : s + (1 << 15)], q[s : s + (1 << 15)]
-                here = _first_shared(lists, x, y) == node[x]
+                here = first_shared(lists, x, y) == node[x]
                 needed[x[here]] = True
                 needed[y[here]] = True
         out = frame.loc[needed, [*_CELL, "side", "rep", "shared"]]
@@ -232,10 +167,10 @@ def _possible(frames: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.D
 
 def _verified(frames: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
     """Links within cells, counted and joined up."""
-    for frame in _by_cell(frames, _CELL):
+    for frame in by_cell(frames, _CELL):
         sets = [np.frombuffer(x, _U) for x in frame["tokens"]]
         sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-        lists, node = _padded(frame["shared"]), frame["node"].to_numpy()
+        lists, node = padded(frame["shared"]), frame["node"].to_numpy()
         rep, weight = frame["rep"].to_numpy(), frame["weight"].to_numpy()
         counted = np.zeros(len(frame), np.int64)
         parent = list(range(len(frame)))
@@ -245,12 +180,12 @@ def _verified(frames: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.D
                 parent[a] = a = parent[parent[a]]
             return a
 
-        for p, q in _pairs(frame, _CELL):
+        for p, q in pairs(frame, _CELL):
             keep = np.minimum(sizes[p], sizes[q]) >= threshold * np.maximum(sizes[p], sizes[q])
             p, q = p[keep], q[keep]
             for s in range(0, len(p), 1 << 15):
                 x, y = p[s : s + (1 << 15)], q[s : s + (1 << 15)]
-                here = _first_shared(lists, x, y) == node[x]
+                here = first_shared(lists, x, y) == node[x]
                 x, y = x[here], y[here]
                 common = _common(sets, x, y)
                 linked = common >= threshold * (sizes[x] + sizes[y] - common)

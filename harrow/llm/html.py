@@ -38,7 +38,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 NEVER_SHOWN = frozenset("head script style template title noscript iframe noembed noframes datalist object audio video canvas svg math".split())
 #: Block elements, with the blank lines around them.
-BLOCK = {**dict.fromkeys("address article aside body center details dialog dd div dl dt fieldset figcaption figure footer form header hgroup html li main menu nav ol optgroup option section summary ul table caption thead tbody tfoot tr".split(), 0), **dict.fromkeys("blockquote h1 h2 h3 h4 h5 h6 p pre".split(), 1)}
+BLOCK = {**dict.fromkeys("address article aside body center details dialog dd div dl dt fieldset figcaption figure footer form header hgroup html li main menu nav ol optgroup option section summary ul table caption thead tbody tfoot tr td th".split(), 0), **dict.fromkeys("blockquote h1 h2 h3 h4 h5 h6 p pre".split(), 1)}
 CLOSE_P = frozenset("address article aside blockquote center details dialog div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table ul".split())
 #: start tag -> (open elements that it ends, elements beyond which it does not look)
 IMPLIED = {
@@ -102,6 +102,8 @@ def build_tree(html: str) -> Node:
             break
         if found > at:
             stack[-1].children.append(unescape(html[at:found]))
+        if html.startswith("<!--", found) and html.find("-->", found) < 0:  # an open comment hides the rest
+            break
         if found > last:  # no tag can end any more
             stack[-1].children.append(unescape(html[found:]))
             break

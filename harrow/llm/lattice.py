@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from harrow.llm.cells import by_cell, first_shared, pairs
 from harrow.llm.common import staged, table
 from harrow.operators.components import components
 
@@ -80,7 +81,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def lattice_keys(vectors: np.ndarray, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE) -> np.ndarray:
-    """(rows, tables * probes) keys of unit vectors; the first of a table is the own cell."""
+    """(rows, tables * probes) keys of unit vectors, ascending, so that two rows agree on their first common one."""
     rng = np.random.default_rng(_SEED + vectors.shape[1])
     out = []
     odd = rng.integers(0, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -94,7 +95,7 @@ def lattice_keys(vectors: np.ndarray, tables: int = TABLES, probes: int = PROBES
         keys = _mixed(_mixed(hp)[:, :, None] * np.uint64(3) + hq[:, None, :] + np.uint64(t * 0x9E3779B97F4A7C15 % 2**64)).reshape(len(vectors), 9)
         order = np.argsort((dp[:, :, None] + dq[:, None, :]).reshape(len(vectors), 9), axis=1, kind="stable")[:, :probes]
         out.append(np.take_along_axis(keys, order, axis=1))
-    return np.concatenate(out, axis=1).view(np.int64) if out else np.zeros((len(vectors), 0), np.int64)
+    return np.sort(np.concatenate(out, axis=1).view(np.int64), axis=1) if out else np.zeros((len(vectors), 0), np.int64)
 
 
 def _hashed(frames: Iterator[pd.DataFrame], tables: int, probes: int, scale: float) -> Iterator[pd.DataFrame]:
@@ -106,47 +107,45 @@ def _hashed(frames: Iterator[pd.DataFrame], tables: int, probes: int, scale: flo
             yield pd.DataFrame({"rep": some["rep"], "keys": list(lattice_keys(x, tables, probes, scale))})
 
 
-def _links(frame: pd.DataFrame, cosine: float) -> pd.DataFrame:
-    """Links within one block pair of one cell, each counted only where the two first meet."""
-    key = int(frame["key"].iloc[0])
-    x = np.array(frame["vec"].tolist(), np.float64)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    keys = np.array(frame["keys"].tolist(), np.int64)
-    rep, weight, side = frame["rep"].to_numpy(), frame["weight"].to_numpy(), frame["side"].to_numpy()
-    i, j = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
-    counted = np.zeros(len(frame), np.int64)
-    parent = np.arange(len(frame))
-
-    def root(a: int) -> int:
-        while parent[a] != a:
-            parent[a] = a = parent[parent[a]]
-        return a
-
-    for at in range(0, len(i), 256):
-        a, b = np.nonzero(x[i[at : at + 256]] @ x[j].T >= cosine)
-        a, b = i[at + a], j[b]
-        keep = a != b if side.any() else a < b
-        a, b = a[keep], b[keep]
-        for s in range(0, len(a), 1 << 14):
-            p, q = a[s : s + (1 << 14)], b[s : s + (1 << 14)]
-            first = np.full(len(p), -1, np.int64)
-            for col in range(keys.shape[1]):  # the first of p's keys that q has too
-                open_ = np.flatnonzero(first < 0)
-                if not len(open_):
-                    break
-                k = keys[p[open_], col]
-                first[open_[(keys[q[open_]] == k[:, None]).any(axis=1)]] = col
-            here = keys[p, first] == key
-            np.add.at(counted, p[here], weight[q[here]])
-            np.add.at(counted, q[here], weight[p[here]])
-        for u, v in zip(a.tolist(), b.tolist(), strict=True):
-            ru, rv = root(u), root(v)
-            if ru != rv:
-                parent[max(ru, rv)] = min(ru, rv)
-    roots = np.fromiter((root(a) for a in range(len(frame))), np.int64, len(frame))
-    least = pd.Series(rep).groupby(roots).transform("min").to_numpy()
-    keep = (counted > 0) | (least != rep)
-    return pd.DataFrame({"rep": rep[keep], "links": counted[keep], "to": least[keep]})
+_CELL = ["key", "label", "dim", "a", "b"]
+_PAIRS = 1 << 14
+
+
+def _links(frames: Iterator[pd.DataFrame], cosine: float) -> Iterator[pd.DataFrame]:
+    """Links within blocks of cells, each counted only in the first cell where the two meet."""
+    for frame in by_cell(frames, _CELL):
+        for _, part in frame.groupby("dim", sort=False):
+            part = part.reset_index(drop=True)
+            x = np.array(part["vec"].tolist(), np.float64)
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            keys, key = np.array(part["keys"].tolist(), np.int64), part["key"].to_numpy()
+            rep, weight = part["rep"].to_numpy(), part["weight"].to_numpy()
+            counted = np.zeros(len(part), np.int64)
+            parent = list(range(len(part)))
+
+            def root(a: int, parent=parent) -> int:
+                while parent[a] != a:
+                    parent[a] = a = parent[parent[a]]
+                return a
+
+            for every_p, every_q in pairs(part, _CELL):
+                for at in range(0, len(every_p), _PAIRS):
+                    p, q = every_p[at : at + _PAIRS], every_q[at : at + _PAIRS]
+                    near = np.einsum("ij,ij->i", x[p], x[q]) >= cosine
+                    p, q = p[near], q[near]
+                    here = first_shared(keys, p, q) == key[p]
+                    p, q = p[here], q[here]
+                    np.add.at(counted, p, weight[q])
+                    np.add.at(counted, q, weight[p])
+                    for u, v in zip(p.tolist(), q.tolist(), strict=True):
+                        ru, rv = root(u), root(v)
+                        if ru != rv:
+                            parent[max(ru, rv)] = min(ru, rv)
+            keep = counted > 0
+            if keep.any():
+                roots = np.fromiter((root(a) for a in range(len(part))), np.int64, len(part))
+                least = pd.Series(rep).groupby(roots).transform("min").to_numpy()
+                yield pd.DataFrame({"rep": rep[keep], "links": counted[keep], "to": least[keep]})
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, crowd: int = CROWD, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -174,7 +173,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
     side = F.when(F.col("pair.a") == F.col("pair.b"), 0).when(F.col("own") == F.col("pair.a"), 1).otherwise(2)
     full_rows = dealt.select("rep", F.col("cell.key").alias("key"), F.col("cell.label").alias("label"), F.col("cell.dim").alias("dim"), F.col("pair.a").alias("a"), F.col("pair.b").alias("b"), side.alias("side"))
     full_rows = full_rows.join(keyed, "rep").join(points.select("rep", "vec", "weight"), "rep")
-    found = staged(full_rows.groupBy("key", "label", "dim", "a", "b").applyInPandas(lambda f: _links(f, cosine), "rep long, links long, to long"), "vector-links")
+    found = staged(full_rows.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInPandas(lambda f: _links(f, cosine), "rep long, links long, to long"), "vector-links")
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = components(found.where("`to` <> rep").select(F.col("rep").alias("a"), F.col("to").alias("b")))
     named = classes.select("rep", "_class", "least", "weight").join(linked, "rep", "left").join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left")

@@ -39,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from harrow.llm.common import staged, table
 
@@ -269,9 +270,8 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, texts: bool = True, b
             cells = plain.groupBy("_blk").cogroup(asked).applyInArrow(_suffix_task(blocks, length, low, high), _CELL)
             known.append(staged(cells.groupBy("bucket").applyInArrow(_resolve, ANSWER), "suffix-answers"))
             answers = answers.unionByName(known[-1].withColumn("kind", F.lit(1)))
-    kinds = [f"_row {dealt.schema['_row'].dataType.simpleString()}", "n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string", *(["text string"] if texts else [])]
-    out = dealt.groupBy("_blk").cogroup(answers.groupBy("blk")).applyInArrow(lambda d, a: _removed(d, a, blocks, length, texts), ", ".join(kinds))
-    return out
+    fields = [("_row", dealt.schema["_row"].dataType), ("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()), *([("text", T.StringType())] if texts else [])]
+    return dealt.groupBy("_blk").cogroup(answers.groupBy("blk")).applyInArrow(lambda d, a: _removed(d, a, blocks, length, texts), T.StructType([T.StructField(n, t) for n, t in fields]))
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -114,8 +114,21 @@ def fit(texts: list[np.ndarray], toxic: np.ndarray, words: list[str]) -> Model:
     cols = np.concatenate([np.asarray(t, np.int64) for t in texts]) if len(rows) else np.zeros(0, np.int64)
     pr, pc, pv = _swaps({w: i for i, w in enumerate(words)}, texts)
     pairs = int(pr.max()) + 1 if len(pr) else 0
-    each = np.bincount(rows, minlength=n)
-    rate = 1.0 / (0.25 * (float((each**1.0).max()) * 0.5 + 1.0) + RIDGE + COUNTERFACTUAL)
+
+    def curved(v: np.ndarray, c: float) -> tuple[np.ndarray, float]:
+        """An upper bound of the loss's second derivative, applied to (v, c)."""
+        z = (np.bincount(rows, weights=v[cols], minlength=n) + c) * (0.25 / n)
+        out = np.bincount(cols, weights=z[rows], minlength=m) + RIDGE * v
+        if pairs:
+            change = np.bincount(pr, weights=pv * v[pc], minlength=pairs)
+            out = out + COUNTERFACTUAL / pairs * np.bincount(pc, weights=pv * change[pr], minlength=m)
+        return out, float(z.sum())
+
+    v, c, top = np.random.default_rng(0).random(m), 1.0, 1.0
+    for _ in range(40):  # power iteration: the greatest curvature bounds the step
+        top = max(float(np.sqrt((v * v).sum() + c * c)), 1e-12)
+        v, c = curved(v / top, c / top)
+    rate = 1.0 / (1.1 * float(np.sqrt((v * v).sum() + c * c)) + 1e-9)
     w, b = np.zeros(m), float(np.log(share / (1 - share)))
     w1, b1 = w, b
     for step in range(STEPS):
