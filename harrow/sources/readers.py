@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 PROBE_BYTES, PROBE_LINES = 2 << 20, 30
 ENCODINGS = ("utf-8-sig", "utf-8", "cp1254", "iso-8859-9", "latin-1")
 SEPARATORS = (",", ";", "\t", "|")
-_SPARK_NAMES = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1254": "windows-1254", "iso-8859-9": "ISO-8859-9", "latin-1": "ISO-8859-1"}
+_SPARK_NAMES = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8"}
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
@@ -63,7 +63,21 @@ def read_csv_flexible(spark: SparkSession, path: str) -> DataFrame:
     """Delimited text of unknown encoding and separator."""
     head = _head(spark, path)
     encoding = detect_encoding(head)
-    return read_csv(spark, path, sep=detect_separator(head, encoding), encoding=_SPARK_NAMES[encoding])
+    return recoded(read_csv(spark, path, sep=detect_separator(head, encoding), encoding=_SPARK_NAMES.get(encoding, "ISO-8859-1")), encoding)
+
+
+def recoded(df: DataFrame, encoding: str) -> DataFrame:
+    """A frame that was read as Latin-1, its names and texts in another single-byte encoding.
+
+    Spark's reader takes few encodings; single-byte ones differ from Latin-1 letter by letter.
+    """
+    if encoding in (*_SPARK_NAMES, "latin-1"):
+        return df
+    pairs = [(chr(b), bytes([b]).decode(encoding, "replace")) for b in range(128, 256)]
+    pairs = [(a, b) for a, b in pairs if a != b and b != "\ufffd"]
+    wrong, right = ("".join(x) for x in zip(*pairs, strict=True))
+    named = df.toDF(*[c.translate(str.maketrans(wrong, right)) for c in df.columns])
+    return named.withColumns({c: F.translate(F.col(f"`{c}`"), wrong, right) for c, kind in named.dtypes if kind == "string"})
 
 
 def exists(spark: SparkSession, path: str) -> bool:
