@@ -6,6 +6,7 @@ own readers, so that any store works; the data are read by the executors.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -112,9 +113,8 @@ def shallowest_file(spark: SparkSession, root: str, name: str) -> str | None:
 
 def decoded(c: str = "content"):
     """Bytes as text in the first encoding that reads them."""
-    import pandas as pd
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def decode(content: pd.Series) -> pd.Series:
         def one(b: bytes | None) -> str | None:
             for name in ("utf-8-sig", "utf-8", "cp1254"):
@@ -143,8 +143,6 @@ def read_spreadsheet(spark: SparkSession, path: str) -> DataFrame:
     """A small spreadsheet, all cells as text; needs a spreadsheet engine for pandas."""
     import io
 
-    import pandas as pd
-
     return spark.createDataFrame(pd.read_excel(io.BytesIO(_head(spark, path)), dtype=str).fillna(""))
 
 
