@@ -92,7 +92,7 @@ class _Model:
     def inverse(self) -> np.ndarray:
         """The id at each point of the order-0 scale."""
         if self.of is None:
-            self.of = np.repeat(np.arange(self.v, dtype=np.int32), self.freq)
+            self.of = np.repeat(np.arange(self.v, dtype=np.uint16 if self.v < 1 << 16 else np.int32), self.freq)
         return self.of
 
     def predict(self, last: np.ndarray, before: np.ndarray):
@@ -115,7 +115,7 @@ class _Model:
         self.recent.append(ids)
         if self.step >= self.next:
             self._rebuild()
-            self.next = self.step + min(16, max(1, self.step // 2))
+            self.next = self.step + min(64, max(1, self.step // 2))
 
 
 def _shape(n: int) -> tuple[int, int]:
@@ -199,7 +199,7 @@ def decode_block(block: bytes) -> np.ndarray:
         to1 = from1 + a * freq[s1] + w1 + w2 * (s1 == g2)
         to2 = from2 + a * freq[s2] + w2 + w1 * (s2 == g1)
         u = v - w1 * (v >= to1) - w2 * (v >= to2)
-        x = of[np.minimum(u // a, (1 << _T0) - 1)]
+        x = of[np.minimum(u // a, (1 << _T0) - 1)].astype(np.int32)
         x = np.where((g1 >= 0) & (v >= from1) & (v < to1), g1, x)
         x = np.where((g2 >= 0) & (v >= from2) & (v < to2), g2, x)
         c, f = model.interval(x, g1, g2, w1, w2, a)

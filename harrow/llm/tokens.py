@@ -10,7 +10,7 @@ from itertools import chain
 import numpy as np
 
 #: Words and ids kept per worker; beyond that a cache starts afresh, so that memory stays bounded.
-CACHE_WORDS, CACHE_IDS = 250_000, 1_500_000
+CACHE_WORDS, CACHE_IDS = 400_000, 2_500_000
 #: Characters at which the quick splitter and the vocabulary file's own might part: those beyond
 #: U+024F, which composition may touch, numbers that are no digits, and separators of old.
 _ODD = re.compile("[^\x00-\u024f]|[\x1c-\x1f\x85²³¹¼½¾]")
