@@ -688,3 +688,96 @@ def streamed_distinct_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{at}/out")
 
 
+
+
+# --- records, labels, unified frames --------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {PREDICTIONS} SELECT doc_id, row_number() OVER (ORDER BY confidence DESC, doc_id) AS rank FROM p WHERE true_label = 1 AND predicted_label = 0 ORDER BY rank LIMIT 25"""
+)
+def worst_false_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    missed = evaluation.false_negatives(predictions(spark, sf_dir)).withColumn("one", F.lit(1))
+    return ranking.top_per_group(missed, ["one"], [F.col("confidence").desc(), F.col("doc_id")], 25).select("doc_id", "rank")
+
+
+@query("SELECT doc_id, CASE WHEN quality = 1 THEN 'real' WHEN toxic = 1 THEN 'risky' ELSE 'uncertain' END AS view, CASE WHEN quality = 1 THEN 0 ELSE 1 END AS label_id, toxic = 1 AS flag FROM labels")
+def label_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = read(spark, sf_dir, "labels")
+    named = labels.withColumn("name", R.mapped_or_fail("quality", {1: "real", 0: "fake"})).withColumn("kind", F.when((F.col("quality") == 0) & (F.col("toxic") == 0), "other").otherwise(F.col("name")))
+    return named.select("doc_id", R.risk_view("kind", "uncertain").alias("view"), R.label_number("name").alias("label_id"), R.truth(F.col("toxic").cast("string")).alias("flag"))
+
+
+@query(
+    f"""SELECT conv_id, turn, concat_ws(chr(10), nullif({WS.format(x="coalesce(role, '')")}, ''), nullif({WS.format(x="coalesce(text, '')")}, '')) AS titled, CASE WHEN {WS.format(x="coalesce(role, '')")} = '' THEN '' ELSE 'Özet: ' || {WS.format(x="role")} END || CASE WHEN {WS.format(x="coalesce(text, '')")} = '' THEN '' ELSE chr(10) || 'Kanıt: ' || {WS.format(x="text")} END AS reference FROM conversations"""
+)
+def joined_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", R.titled_text("role", "text").alias("titled"), R.reference_text("role", "text").alias("reference"))
+
+
+@query("SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS repaired, o_orderkey AS number FROM orders")
+def repaired_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.col("o_orderkey").cast("string"), F.lit(".0")).alias("decimal_id"))
+    return orders.select("o_orderkey", M.id_repair("decimal_id").alias("repaired"), M.id_number(M.id_repair("decimal_id")).alias("number"))
+
+
+@query("SELECT p_partkey, round(coalesce(least(p_size, length(p_name))::DOUBLE / nullif(greatest(p_size, length(p_name)), 0), 0), 6) AS ratio FROM part")
+def length_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").select("p_partkey", F.round(M.length_ratio(F.col("p_size"), F.length("p_name")), 6).alias("ratio"))
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, lang, source, {WS.format(x="text")} AS t FROM documents) SELECT printf('doc_%06d', row_number() OVER (ORDER BY doc_id)) AS record_id, lang AS title_raw, t AS text_basic_body, coalesce(nullif(trim(source), ''), 'unknown') AS source FROM d"""
+)
+def unified_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    out = corpus.unified(docs, "docs", "article_fake_news_binary", "full_article", "lang", "text", "source", "source", None, None, "doc_id", "doc")
+    return out.select("record_id", "title_raw", N.whitespace("content_raw").alias("text_basic_body"), "source")
+
+
+@query("SELECT 'docs' AS dataset, count(*) AS row_count, count(*) AS distinct_ids, 0::BIGINT AS repeated_ids, count(*) FILTER (trim(coalesce(lang, '') || coalesce(text, '')) = '') AS empty_texts, count(*) FILTER (source IS NULL) AS null_labels FROM documents")
+def unified_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    out = corpus.unified(docs, "docs", "article_fake_news_binary", "full_article", "lang", "text", "source", "source", None, None, "doc_id", "doc")
+    return corpus.unified_audit({"docs": out})
+
+
+@query(
+    f"""WITH s AS (SELECT doc_id, source, {WS.format(x="text")} AS text FROM documents) SELECT min(doc_id) AS doc_id, text FROM s WHERE length(text) >= 30 GROUP BY text"""
+)
+def standardized_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return corpus.standardized(docs, {"text": 30}, None, None, ["text"], "doc_id").select("doc_id", "text")
+
+
+@query("SELECT doc_id, CASE WHEN length(trim(text)) < 40 OR len(regexp_extract_all(text, '[A-Za-zÇĞİÖŞÜçğıöşüÂÎÛâîû]{2,}')) < 6 OR length(regexp_replace(text, '[^\\p{L}]', '', 'g')) = 0 THEN 'review_required' ELSE 'quality_candidate' END AS quality_status FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")
+def quality_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.quality_flagged(read(spark, sf_dir, "documents"), "text", "article_main").select("doc_id", "quality_status")
+
+
+@query("SELECT s.doc_id // 2 AS pair_id, count(*) AS row_count, count(DISTINCT s.x) AS labels, 1::BIGINT AS splits FROM (SELECT a.doc_id, unnest(['real', 'fake']) AS x FROM documents a JOIN documents b ON a.doc_id % 2 = 0 AND b.doc_id = a.doc_id + 1) s GROUP BY 1")
+def paired_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 2).alias("pair_id"), "doc_id", "text", "source", F.col("lang").alias("method"))
+    made, _ = training.paired_training_set(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"), "pair_id", "text")
+    return made.groupBy("pair_id").agg(F.count("*").alias("row_count"), F.count_distinct("label").alias("labels"), F.count_distinct("split").alias("splits"))
+
+
+@query(
+    f"""WITH k AS (SELECT doc_id, {KEY_C} AS key FROM documents), g AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY key) AS root FROM k) SELECT doc_id, printf('group_%06d', dense_rank() OVER (ORDER BY root)) AS split_group_id FROM g"""
+)
+def duplicate_group_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", N.key_letters("text").alias("key"))
+    return training.duplicate_groups(docs, "doc_id", "key").select("doc_id", "split_group_id")
+
+
+@query(f"WITH {PREDICTIONS} SELECT 'accuracy' AS metric, round(avg(CASE WHEN true_label = predicted_label THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS value, abs(round(avg(CASE WHEN true_label = predicted_label THEN 1.0 ELSE 0.0 END), 6) - 0.5) <= 0.25 AS within_tolerance FROM p")
+def verified_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.verification(predictions(spark, sf_dir), "true_label", "predicted_label", "fake_probability", {"accuracy": 0.5}, 0.25).select("metric", "value", "within_tolerance")
+
+
+@query(
+    f"""WITH {PREDICTIONS} SELECT doc_id, array_to_string(list_filter([CASE WHEN confidence < 0.6 THEN 'low_confidence' END, CASE WHEN token_count < 150 THEN 'short' END, CASE WHEN true_label <> predicted_label THEN 'wrong' END], lambda x: x IS NOT NULL), ';') AS exclusion_reasons FROM p"""
+)
+def exclusion_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = predictions(spark, sf_dir).withColumns({"a": F.col("confidence") < 0.6, "b": F.col("token_count") < 150, "c": F.col("true_label") != F.col("predicted_label")})
+    return training.exclusion_reasons(p, {"low_confidence": "a", "short": "b", "wrong": "c"}).select("doc_id", "exclusion_reasons")
