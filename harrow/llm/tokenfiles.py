@@ -32,7 +32,7 @@ END_ID = 1
 VOCABULARY = 49_408
 #: A block ends with the document that reaches this number of ids.
 BLOCK_IDS = 1_000_000
-_TEXTS = 512
+_TEXTS = 2048
 FILE_SCHEMA = "part long, block long, n_ids long, docs binary, payload binary"
 DOC_SCHEMA = "_block long, doc_id long, _before long, n_tokens long, ids_crc32 long"
 
@@ -78,7 +78,7 @@ def _write(batches: Iterator[pa.RecordBatch], path: str | None, vocabulary: int,
     for batch in batches:
         for at in range(0, batch.num_rows, _TEXTS):
             some = batch.slice(at, _TEXTS)
-            ids, sizes = encoder.encode([t or "" for t in some.column(1).to_pylist()])
+            ids, sizes = encoder.encode(some.column(1))
             ends = np.cumsum(sizes)
             ids = np.insert(ids.astype(np.int32), ends, END_ID)
             sizes = sizes + 1

@@ -3,20 +3,20 @@
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words and ids kept per worker; beyond that a cache starts afresh, so that memory stays bounded.
 CACHE_WORDS, CACHE_IDS = 400_000, 2_500_000
-#: Characters at which the quick splitter and the vocabulary file's own might part: those beyond
-#: U+024F, which composition may touch, numbers that are no digits, and separators of old.
-_ODD = re.compile("[^\x00-\u024f]|[\x1c-\x1f\x85²³¹¼½¾]")
-_SEPARATORS = re.compile("[\x1c-\x1f]")
-#: The vocabulary file's pattern for all other texts: contractions, letters, single digits, the rest.
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+").findall
+#: Texts with one of these go through the whole tokenizer: characters that composition or lowering may
+#: turn into others, and white space on which the splitters do not agree.
+_ODD = r"[^\x00-\x{24F}]|[\x{130}\x{A0}\x{85}\x0b\x1c-\x1f]"
+#: What the vocabulary file's pattern matches beside runs of letters: contractions, single digits, the rest.
+_APART = r"('s|'t|'re|'ve|'m|'ll|'d|[^\s\p{L}\p{N}]+|\p{N})"
 
 
 #: The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the rest from U+0100 on.
@@ -76,8 +76,8 @@ def byte_bpe_encoder(json_path: str | None = None, rank_path: str | None = None)
 class WordEncoder:
     """Texts -> ids of a vocabulary that drops white space and merges within words.
 
-    Words are encoded once and kept; the ids of a batch are gathered from them. A
-    text with an odd character goes through the whole tokenizer.
+    A batch is lowered, split and reduced to its distinct words by Arrow's kernels;
+    only words that are new to the worker are encoded, and the ids are gathered.
     """
 
     def __init__(self, path: str | None = None):
@@ -106,25 +106,32 @@ class WordEncoder:
         self.n, self.used = n, self.used + total
         return range(first, n)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in order, number of ids of each text)."""
         if self.n > CACHE_WORDS or self.used > CACHE_IDS:
             self._reset()
-        odd = {i for i, t in enumerate(texts) if not t.isascii() and _ODD.search(t) or t.isascii() and _SEPARATORS.search(t)}
-        pieces = [[] if i in odd else _PIECES(t.lower()) for i, t in enumerate(texts)]
-        every = list(chain.from_iterable(pieces))
+        texts = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), "")
+        is_odd = pc.match_substring_regex(texts, _ODD)
+        odd = np.flatnonzero(is_odd.to_numpy(zero_copy_only=False))
+        plain = pc.if_else(is_odd, "", texts) if len(odd) else texts
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(plain), _APART, r" \1 "))
+        words = split.flatten()
+        filled = pc.not_equal(words, "")
+        kept = filled.to_numpy(zero_copy_only=False)
+        lists = split.offsets.to_numpy() - split.offsets[0].as_py()
+        counts = np.diff(np.concatenate([[0], np.cumsum(kept)])[lists])
+        coded = words.filter(filled).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
         code, model = self.code, self.tokenizer.model
-        new = [w for w in dict.fromkeys(every) if w not in code]
+        new = [w for w in distinct if w not in code]
         if new:
             as_bytes = [w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES) for w in new]
             code.update(zip(new, self._keep([[t.id for t in model.tokenize(b)] for b in as_bytes]), strict=True))
-        counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        codes = np.fromiter(map(code.__getitem__, every), np.int64, len(every))
-        if odd:
-            at = sorted(odd)
-            whole = self._keep([e.ids for e in self.tokenizer.encode_batch_fast([texts[i] for i in at], add_special_tokens=False)])
-            codes = np.insert(codes, np.cumsum(counts)[at], list(whole))
-            counts[at] = 1
+        codes = np.fromiter(map(code.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()] if distinct else np.zeros(0, np.int64)
+        if len(odd):
+            whole = self._keep([e.ids for e in self.tokenizer.encode_batch_fast([texts[int(i)].as_py() for i in odd], add_special_tokens=False)])
+            codes = np.insert(codes, np.cumsum(counts)[odd], list(whole))
+            counts[odd] = 1
         sizes = self.length[codes]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
