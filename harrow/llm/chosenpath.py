@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from harrow.llm.cells import by_cell, first_shared, padded, pairs
-from harrow.llm.common import packed, staged, table, unpacked
+from harrow.llm.common import drop_staged, packed, staged, table, unpacked
 from harrow.operators.components import components
 
 WORDS = 5
@@ -241,14 +241,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     sample = F.min_by(F.struct("size", "sketch", "parents", "nodes", "levels"), who)
     classes = staged(pathed.where("rep is not null").groupBy("rep").agg(F.min(who).alias("who"), F.count("*").alias("weight"), sample.alias("x")).select("rep", "who", "weight", "x.*"), "classes")
     steps = classes.select("rep", F.explode(F.arrays_zip("parents", "nodes", "levels")).alias("s")).select("rep", F.col("s.parents").alias("parent"), F.col("s.nodes").alias("node"), F.col("s.levels").alias("level"))
-    cells = None
-    split = None
+    cells = split = None
+    done_with: list[DataFrame] = []
     for level in range(1, levels + 1):
         here = steps.where(F.col("level") == level)
         if split is not None:  # only what is in a large node goes on
             here = here.join(split.select(F.col("node").alias("parent")), "parent")
         here = staged(here.select("rep", "node").distinct(), "steps")
         sizes = staged(here.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "nodes")
+        done_with += [here, sizes]
         last = level == levels
         done = here.join(sizes if last else sizes.where(F.col("n") <= few), "node").select("rep", "node", "n")
         cells = done if cells is None else cells.unionByName(done)
@@ -270,6 +271,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     sets = staged(texts.mapInArrow(lambda b: _sets(b, words), "rep long, tokens binary").groupBy("rep").agg(F.first("tokens").alias("tokens")), "sets")
     full = needed.join(sets, "rep").join(wanted.select("rep", "weight"), "rep")
     found = staged(full.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInPandas(lambda f: _verified(f, threshold), "rep long, links long, to long"), "links")
+    drop_staged(*done_with, cells, needed, sets)
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = components(found.select(F.col("rep").alias("a"), F.col("to").alias("b")))
     named = classes.select("rep", "who", "weight").join(linked, "rep", "left").join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harrow.llm.cells import by_cell, first_shared, pairs
-from harrow.llm.common import staged, table
+from harrow.llm.common import drop_staged, staged, table
 from harrow.operators.components import components
 
 COSINE = 0.98
@@ -174,6 +174,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
     full_rows = dealt.select("rep", F.col("cell.key").alias("key"), F.col("cell.label").alias("label"), F.col("cell.dim").alias("dim"), F.col("pair.a").alias("a"), F.col("pair.b").alias("b"), side.alias("side"))
     full_rows = full_rows.join(keyed, "rep").join(points.select("rep", "vec", "weight"), "rep")
     found = staged(full_rows.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInPandas(lambda f: _links(f, cosine), "rep long, links long, to long"), "vector-links")
+    drop_staged(keyed)
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = components(found.where("`to` <> rep").select(F.col("rep").alias("a"), F.col("to").alias("b")))
     named = classes.select("rep", "_class", "least", "weight").join(linked, "rep", "left").join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left")
