@@ -27,7 +27,7 @@ import numpy as np
 MAGIC = b"CMR1"
 _HEAD = struct.Struct("<4sIIII")
 #: Lanes of a large block, and ids in a lane of a small one.
-LANES, LEAST_STEPS = 4096, 64
+LANES, LEAST_STEPS = 8192, 64
 _T0 = 20  # order-0 frequencies add up to 1 << _T0
 _SCALE = 24  # and a mix to 1 << _SCALE or a little less
 _BITS2 = 18  # log2 of the order-2 contexts
@@ -49,7 +49,7 @@ class _Context:
         self._weigh()
 
     def _weigh(self) -> None:
-        self.weight = (self.hits / self.all * (1 << _SCALE)).astype(np.int64)
+        self.weight = (self.hits / self.all * (1 << _SCALE)).astype(np.int32)
         self.weight[8] = 0
 
     def look(self, at: np.ndarray) -> None:
@@ -98,10 +98,11 @@ class _Model:
     def predict(self, last: np.ndarray, before: np.ndarray):
         """Guesses and integer weights for lanes with these two last ids."""
         self.one.look(last)
-        self.two.look(((last * np.int64(0x2545F491) + before * np.int64(0x9E3779B1)) & 0xFFFFFFFF) >> (32 - _BITS2))
+        self.two.look((last.view(np.uint32) * np.uint32(0x2545F491) + before.view(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(32 - _BITS2))
         w2 = self.two.w
-        w1 = ((1 << _SCALE) - w2) * self.one.w >> _SCALE
-        a = np.maximum(1, ((1 << _SCALE) - w1 - w2) >> _T0)
+        half = _SCALE // 2  # products stay within 32 bits
+        w1 = (((1 << _SCALE) - w2) >> half) * (self.one.w >> half)
+        a = np.maximum(np.int32(1), ((1 << _SCALE) - w1 - w2) >> _T0)
         return self.one.guess, self.two.guess, w1, w2, a, (a << _T0) + w1 + w2
 
     def interval(self, x: np.ndarray, g1: np.ndarray, g2: np.ndarray, w1: np.ndarray, w2: np.ndarray, a: np.ndarray):
@@ -143,7 +144,7 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
         last, before = last[:active], before[:active]
         g1, g2, w1, w2, a, total = model.predict(last, before)
         c, f = model.interval(x, g1, g2, w1, w2, a)
-        r = rng[:active] // total.astype(_U)
+        r = (rng[:active] / total).astype(_U)  # below 2^48 a double's quotient has the exact floor
         low[:active] += r * c.astype(_U)
         rng[:active] = r * f.astype(_U)
         for _ in range(2):
@@ -190,8 +191,8 @@ def decode_block(block: bytes) -> np.ndarray:
         last, before = last[:active], before[:active]
         g1, g2, w1, w2, a, total = model.predict(last, before)
         cum, freq, of = model.cum, model.freq, model.inverse()
-        r = rng[:active] // total.astype(_U)
-        v = np.minimum((code[:active] // r).astype(np.int64), total - 1)
+        r = (rng[:active] / total).astype(_U)  # below 2^48 a double's quotient has the exact floor
+        v = np.minimum((code[:active] / r).astype(np.int32), total - 1)
         # Where the two guesses lie on this lane's scale; a missing guess has weight 0.
         s1, s2 = np.maximum(g1, 0), np.maximum(g2, 0)
         from1 = a * cum[s1] + w2 * (s1 > g2)
@@ -199,7 +200,7 @@ def decode_block(block: bytes) -> np.ndarray:
         to1 = from1 + a * freq[s1] + w1 + w2 * (s1 == g2)
         to2 = from2 + a * freq[s2] + w2 + w1 * (s2 == g1)
         u = v - w1 * (v >= to1) - w2 * (v >= to2)
-        x = of[np.minimum(u // a, (1 << _T0) - 1)].astype(np.int32)
+        x = of[np.minimum((u / a).astype(np.int32), (1 << _T0) - 1)].astype(np.int32)
         x = np.where((g1 >= 0) & (v >= from1) & (v < to1), g1, x)
         x = np.where((g2 >= 0) & (v >= from2) & (v < to2), g2, x)
         c, f = model.interval(x, g1, g2, w1, w2, a)

@@ -31,8 +31,8 @@ from harrow.llm.tokens import WordEncoder
 END_ID = 1
 VOCABULARY = 49_408
 #: A block ends with the document that reaches this number of ids.
-BLOCK_IDS = 1_000_000
-_TEXTS = 2048
+BLOCK_IDS = 2_000_000
+_TEXTS = 4096
 FILE_SCHEMA = "part long, block long, n_ids long, docs binary, payload binary"
 DOC_SCHEMA = "_block long, doc_id long, _before long, n_tokens long, ids_crc32 long"
 

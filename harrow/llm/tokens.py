@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words and ids kept per worker; beyond that a cache starts afresh, so that memory stays bounded.
-CACHE_WORDS, CACHE_IDS = 400_000, 2_500_000
+CACHE_WORDS, CACHE_IDS = 700_000, 4_000_000
 #: Texts with one of these go through the whole tokenizer: characters that composition or lowering may
 #: turn into others, and white space on which the splitters do not agree.
 _ODD = r"[^\x00-\x{24F}]|[\x{130}\x{A0}\x{85}\x0b\x1c-\x1f]"
