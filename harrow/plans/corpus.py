@@ -13,6 +13,7 @@ from harrow.functions.masks import destyle
 from harrow.operators import dedup as D
 from harrow.operators import ranking, reports, similarity
 from harrow.operators.schema import UNIFIED, aligned_union, require_columns, schema_audit, with_constants
+from harrow.staging import staged
 
 
 def standardized(df: DataFrame, texts: dict[str, int], label: str | None, labels: dict[str, str] | None, keys: list[str], order: str, default_label: str | None = None) -> DataFrame:
@@ -103,7 +104,7 @@ def clean_pool(df: DataFrame, text: str, order: str, form: bool = True, columns:
     words = F.regexp_extract_all("text_basic", F.lit(f"({M.WORD_PATTERNS['letters_digits']})"), F.lit(1))
     measured = cleaned.withColumn("_words", words).withColumns({"word_count": F.size("_words"), "character_count": F.length("text_basic"), "alphabetic_ratio": M.alphabetic_ratio("text_basic"), "unique_word_ratio": M.unique_word_ratio(F.col("_words"))}).drop("_words")
     judged = measured.withColumn("rejection_reasons", F.array_join(M.quality_rejections("text_basic", F.col("word_count"), F.col("alphabetic_ratio"), F.col("unique_word_ratio")), ";"))
-    judged = judged.withColumn("exact_text_hash", sha256(N.key_letters("text_basic", form)))
+    judged = staged(judged.withColumn("exact_text_hash", sha256(N.key_letters("text_basic", form))), "judged")  # read by both results
     good = judged.where("rejection_reasons = ''")
     firsts = good.groupBy("exact_text_hash").agg(F.min("_at").alias("_first"))
     marked = good.join(firsts, "exact_text_hash")
