@@ -27,6 +27,12 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_long_chain_in_random_order(spark):
+    chain = spark.range(400).select(F.xxhash64("id").alias("a"), F.xxhash64(F.col("id") + 1).alias("b"))
+    got = components(chain).agg(F.count("*").alias("n"), F.count_distinct("component").alias("pieces"), F.min("component").alias("c"), F.min("id").alias("least")).first()
+    assert got["n"] == 401 and got["pieces"] == 1 and got["c"] == got["least"]
+
+
 def test_hash_ranks_are_a_permutation(spark):
     df = spark.range(1000).select("id", (F.col("id") % 3).alias("s"))
     ranked = ranking.with_hash_rank(df, ranking.seeded("id"), ["s"], "r", "n", ties=["id"])
