@@ -3,8 +3,8 @@
 Logistic regression over the words that a text has and over their first letters
 (inflecting languages have many forms of an insult), fitted on a bounded sample of
 labelled rows. Identity terms in labelled texts are swapped for other terms of
-their kind, and the squared change of the score is penalised, so that naming a
-group does not by itself make a text toxic. Word statistics of the sample and the
+their kind, beginnings included, and the squared change of the score is penalised,
+so that naming a group does not by itself make a text toxic. Word statistics of the sample and the
 scores of all texts are computed in Spark; the driver sees the vocabulary and the
 sample's word numbers only.
 
@@ -55,10 +55,23 @@ def words_of(text: str | None) -> set[str]:
 STEMS = (4, 5, 6)
 
 
+def _with_beginnings(words: set[str]) -> set[str]:
+    return words.union(*({w[:k] + "*" for w in words if len(w) > k} for k in STEMS))
+
+
 def features_of(text: str | None) -> set[str]:
     """The words of a text and their beginnings."""
-    words = words_of(text)
-    return words.union(*({w[:k] + "*" for w in words if len(w) > k} for k in STEMS))
+    return _with_beginnings(words_of(text))
+
+
+#: What each identity term is swapped for: the next of its kind.
+_NEXT = {a: b for kind in IDENTITY for a, b in zip(kind, (*kind[1:], kind[0]), strict=True)}
+
+
+def swapped(words: set[str]) -> tuple[set[str], set[str]]:
+    """(features lost, features gained) when each identity term among the words becomes the next of its kind."""
+    before, after = _with_beginnings(words), _with_beginnings({_NEXT.get(w, w) for w in words})
+    return before - after, after - before
 
 
 def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
@@ -68,12 +81,15 @@ def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
 
 def _split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        yield pd.DataFrame({"toxic": frame["toxic"], "words": [sorted(features_of(t)) for t in frame["text"]]})
+        words = [words_of(t) for t in frame["text"]]
+        changes = [swapped(w) for w in words]
+        yield pd.DataFrame({"toxic": frame["toxic"], "words": [sorted(_with_beginnings(w)) for w in words], "lost": [sorted(x) for x, _ in changes], "gained": [sorted(x) for _, x in changes]})
 
 
 def _numbered(frames: Iterator[pd.DataFrame], number: dict[str, int]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        yield pd.DataFrame({"toxic": frame["toxic"], "at": [[number[w] for w in words if w in number] for words in frame["words"]]})
+        at = {c: [[number[w] for w in words if w in number] for words in frame[n]] for c, n in (("at", "words"), ("lost", "lost"), ("gained", "gained"))}
+        yield pd.DataFrame({"toxic": frame["toxic"], **at})
 
 
 class Model:
@@ -88,31 +104,40 @@ class Model:
         return 1.0 / (1.0 + float(np.exp(-np.clip(z, -500.0, 500.0))))
 
 
-def _swaps(number: dict[str, int], texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(pair, word, change): what changes in a text when each identity term becomes the next of its kind."""
-    after = {number[a]: number[b] for kind in IDENTITY for a, b in zip(kind, (*kind[1:], kind[0]), strict=True) if a in number and b in number}
+def _swaps(number: dict[str, int], changes: list[tuple[list[int], list[int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, word, change): what changes in a text when each identity term becomes the next of its kind.
+
+    What is not in the vocabulary has no weight, and so takes no part.
+    """
+    alone = [tuple([number[x] for x in sorted(side) if x in number] for side in swapped({a})) for a in _NEXT]  # a sentence with one term alone
     rows, cols, values = [], [], []
     pair = 0
-    for at in [*texts, *([a] for a in after)]:  # the last: a sentence with one term alone
-        have = [w for w in at if w in after]
-        if have:
-            for w in have:
-                rows += [pair, pair]
-                cols += [w, after[w]]
-                values += [-1.0, 1.0]
+    for lost, gained in [*changes, *alone]:
+        if len(lost) or len(gained):
+            rows += [pair] * (len(lost) + len(gained))
+            cols += [*lost, *gained]
+            values += [-1.0] * len(lost) + [1.0] * len(gained)
             pair += 1
     return np.array(rows, np.int64), np.array(cols, np.int64), np.array(values)
 
 
-def fit(texts: list[np.ndarray], toxic: np.ndarray, words: list[str]) -> Model:
-    """Accelerated gradient descent on loss + ridge + penalised counterfactual changes."""
+def fit(texts: list[np.ndarray], toxic: np.ndarray, words: list[str], changes: list[tuple[list[int], list[int]]] | None = None) -> Model:
+    """Accelerated gradient descent on loss + ridge + penalised counterfactual changes.
+
+    ``changes`` has the word numbers that each text loses and gains in its swap;
+    without it they are taken from the texts' known words.
+    """
     n, m = len(texts), len(words)
     share = float(toxic.mean()) if n else 0.0
     if not n or share in (0.0, 1.0):
         return Model({}, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
     rows = np.repeat(np.arange(n), [len(t) for t in texts])
     cols = np.concatenate([np.asarray(t, np.int64) for t in texts]) if len(rows) else np.zeros(0, np.int64)
-    pr, pc, pv = _swaps({w: i for i, w in enumerate(words)}, texts)
+    number = {w: i for i, w in enumerate(words)}
+    if changes is None:
+        sides = (swapped({words[i] for i in t if not words[i].endswith("*")}) for t in texts)
+        changes = [([number[x] for x in sorted(a) if x in number], [number[x] for x in sorted(b) if x in number]) for a, b in sides]
+    pr, pc, pv = _swaps(number, changes)
     pairs = int(pr.max()) + 1 if len(pr) else 0
 
     def curved(v: np.ndarray, c: float) -> tuple[np.ndarray, float]:
@@ -150,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
     label = label.where(~held_out(F.col("_id"))).groupBy("_id").agg(F.max("toxic").alias("toxic"))
     chosen = label.orderBy(F.xxhash64("_id"), "_id").limit(rows)
     found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id").select("text", "toxic")
-    sample = staged(found.mapInPandas(_split, "toxic int, words array<string>"), "labelled-words")
+    sample = staged(found.mapInPandas(_split, "toxic int, words array<string>, lost array<string>, gained array<string>"), "labelled-words")
     total, bad = (int(x or 0) for x in sample.agg(F.count("*"), F.sum("toxic")).first())
     n, a = F.col("n").cast("double"), F.col("a").cast("double")
     lean = a * total - n * bad
@@ -160,10 +185,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
     kept = counted.withColumn("chi2", chi2).where(((F.col("n") >= LEAST_TEXTS) & (F.col("chi2") >= LEAST_CHI2)) | terms)
     words = [r["word"] for r in kept.orderBy(F.col("chi2").desc(), "word").limit(VOCABULARY).select("word").collect()]
     number = {w: i for i, w in enumerate(words)}
-    data = sample.mapInPandas(lambda f: _numbered(f, number), "toxic int, at array<int>").toPandas()
+    data = sample.mapInPandas(lambda f: _numbered(f, number), "toxic int, at array<int>, lost array<int>, gained array<int>").toPandas()
     drop_staged(sample)
-    order = sorted(range(len(data)), key=lambda i: (int(data["toxic"].iat[i]), list(data["at"].iat[i])))  # sums do not depend on the rows' order
-    return fit([np.asarray(data["at"].iat[i], np.int64) for i in order], data["toxic"].to_numpy(np.float64)[order] if len(data) else np.zeros(0), words)
+    at, lost, gained = ([list(map(int, x)) for x in data[c]] for c in ("at", "lost", "gained"))
+    order = sorted(range(len(data)), key=lambda i: (int(data["toxic"].iat[i]), at[i], lost[i], gained[i]))  # sums do not depend on the rows' order
+    toxic = data["toxic"].to_numpy(np.float64)[order] if len(data) else np.zeros(0)
+    return fit([np.asarray(at[i], np.int64) for i in order], toxic, words, [(lost[i], gained[i]) for i in order])
 
 
 def score_column(model: Model) -> Column:

@@ -439,6 +439,16 @@ def test_identity_terms_do_not_make_a_text_toxic():
     assert max(spread) - min(spread) < 0.15 and max(spread) < 0.5 < model.score("an idiot among christians")
 
 
+@pytest.mark.parametrize("others", [True, False])
+def test_identity_terms_do_not_make_a_text_toxic_by_their_beginnings(spark, others):
+    rows = [("muslims came today", 1)] * 40 + [("idiot came today", 1)] * 40 + [("came today", 0)] * 200
+    rows += [(f"{w} came today", 0) for w in ("christians", "jews", "hindus", "buddhists", "atheists") if others] * 16
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, x) for i, (_, x) in enumerate(rows)], "doc_id long, toxic int"))
+    scores = [model.score(f"all {w} are here") for w in ("muslims", "christians", "jews", "hindus", "buddhists", "atheists")]
+    assert max(scores) - min(scores) < 0.15 and max(scores) < 0.5 < model.score("an idiot came")
+
+
 def test_toxicity_edge_cases(spark, odd, clashing, empty):
     labels = spark.createDataFrame([(1, 1), (5, 0), (None, 1), (6, None), (8, 0), (2, 1)], "doc_id long, toxic int")
     for docs in (odd, clashing):
