@@ -125,7 +125,7 @@ class WordEncoder:
         code, model = self.code, self.tokenizer.model
         new = [w for w in distinct if w not in code]
         if new:
-            as_bytes = [w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES) for w in new]
+            as_bytes = [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(_BYTES) for w in new]
             code.update(zip(new, self._keep([[t.id for t in model.tokenize(b)] for b in as_bytes]), strict=True))
         codes = np.fromiter(map(code.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()] if distinct else np.zeros(0, np.int64)
         if len(odd):

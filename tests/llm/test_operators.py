@@ -205,6 +205,15 @@ def test_word_encoder_is_the_tokenizers_own():
         assert at == len(ids)
 
 
+def test_word_encoder_agrees_on_every_code_point():
+    encoder, slow = tokens.WordEncoder(), tokens.load_tokenizer(tokens.public_path("word_bpe_49k.json"))
+    texts = [t for c in map(chr, range(0x250)) for t in (f"ab{c}cd", f"x {c} y", f"{c}{c}1{c}")]
+    ids, sizes = encoder.encode(texts)
+    ends = np.cumsum(sizes).tolist()
+    for text, n, end in zip(texts, sizes.tolist(), ends, strict=True):
+        assert ids[end - n : end].tolist() == slow.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 # --- 5 lattice -----------------------------------------------------------------------------------------
 
 
