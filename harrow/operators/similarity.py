@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from harrow.functions.hashing import bands, hamming, hex64, simhash_of, shingles
 from harrow.functions.measures import length_ratio, preview, similarity_band
@@ -11,7 +15,8 @@ from harrow.functions.normalize import word_list
 from harrow.staging import drop_staged, staged
 
 MOST_BITS, LEAST_RATIO = 5, 0.78
-ROUNDS = 200
+#: Open links that the driver settles by itself once no more are left.
+FEW_LINKS = 200_000
 
 
 def with_simhash(df: DataFrame, text: str, form: bool = True) -> DataFrame:
@@ -39,30 +44,54 @@ def simhash_links(df: DataFrame, record: str, order: str, most: int = MOST_BITS,
     return near.unionByName(same)
 
 
-def greedy_representatives(links: DataFrame) -> DataFrame:
+def _settled(links: list[tuple]) -> list:
+    """The covered ids of (earlier, later) links, settled one by one in row order."""
+    after, waits, covered = defaultdict(list), Counter(), set()
+    for earlier, later in links:
+        after[earlier].append(later)
+        waits[later] += 1
+    ready = [x for x in after if not waits[x]]
+    while ready:
+        x = ready.pop()
+        for later in after[x]:
+            if x not in covered:
+                covered.add(later)
+            waits[later] -= 1
+            if not waits[later]:
+                ready.append(later)
+    if any(waits.values()):
+        raise ValueError("links must lead from earlier rows to later ones")
+    return list(covered)
+
+
+def greedy_representatives(links: DataFrame, few: int = FEW_LINKS) -> DataFrame:
     """(id, representative): rows that an earlier representative covers.
 
     In row order, a row is covered by the nearest earlier row that is itself not
     covered. Rows whose earlier neighbours are all settled are settled together, so
-    that rounds follow the longest chain and not the number of rows.
+    that rounds follow the longest chain and not the number of rows; the driver
+    settles the last ``few`` links. Nothing stays open.
     """
     links = staged(links, "links")
-    dropped: DataFrame | None = None
-    heads: DataFrame | None = None
-    open_ = links
-    for _ in range(ROUNDS):
+    open_, n, hits = links, links.count(), []
+    while n > few:
         waiting = open_.select(F.col("later").alias("id")).distinct()
         free = open_.select(F.col("earlier").alias("id")).distinct().join(waiting, "id", "left_anti")
         hit = staged(open_.join(free.withColumnRenamed("id", "earlier"), "earlier", "left_semi").select(F.col("later").alias("id")).distinct(), "covered")
-        heads = free if heads is None else heads.unionByName(free)
-        dropped = hit if dropped is None else dropped.unionByName(hit)
+        hits.append(hit)
+        if len(hits) == 16:  # so that the plan stays small
+            parts, hits = hits, [staged(reduce(DataFrame.unionByName, hits).coalesce(8), "covered")]
+            drop_staged(*parts)
+            hit = hits[0]
         rest = open_.join(hit.withColumnRenamed("id", "later"), "later", "left_anti").join(hit.withColumnRenamed("id", "earlier"), "earlier", "left_anti")
         after = staged(rest, "open")
         if open_ is not links:
             drop_staged(open_)
-        open_ = after
-        if not open_.limit(1).count():
-            break
+        open_, before, n = after, n, after.count()
+        if n == before:
+            raise ValueError("links must lead from earlier rows to later ones")
+    last = [(x,) for x in _settled([(r["earlier"], r["later"]) for r in open_.select("earlier", "later").collect()])]
+    dropped = reduce(DataFrame.unionByName, [*hits, links.sparkSession.createDataFrame(last, StructType([StructField("id", links.schema["later"].dataType)]))])
     covered = links.join(dropped.withColumnRenamed("id", "later"), "later", "left_semi").join(dropped.withColumnRenamed("id", "earlier"), "earlier", "left_anti")
     best = F.min_by(F.struct("earlier", "hamming_distance", "length_ratio"), F.struct("hamming_distance", -F.col("length_ratio"), "earlier"))
     return covered.groupBy(F.col("later").alias("id")).agg(best.alias("x")).select("id", F.col("x.earlier").alias("representative"), "x.hamming_distance", "x.length_ratio")

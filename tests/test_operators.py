@@ -76,6 +76,15 @@ def test_greedy_is_not_transitive(spark):
     assert {(r["id"], r["representative"]) for r in similarity.greedy_representatives(links).collect()} == {(2, 1), (4, 3)}
 
 
+@pytest.mark.parametrize("few", [similarity.FEW_LINKS, 990])
+def test_greedy_settles_a_long_chain(spark, few):
+    links = spark.range(1, 1001).select(F.col("id").alias("earlier"), (F.col("id") + 1).alias("later"), F.lit(1).alias("hamming_distance"), F.lit(1.0).alias("length_ratio"))
+    got = {(r["id"], r["representative"]) for r in similarity.greedy_representatives(links, few).collect()}
+    assert got == {(i, i - 1) for i in range(2, 1001, 2)}
+    with pytest.raises(ValueError, match="earlier"):
+        similarity.greedy_representatives(links.limit(0).unionByName(links.selectExpr("earlier", "1 later", "hamming_distance", "length_ratio")))
+
+
 def brute_cosine(texts, threshold):
     import math
     from collections import Counter
