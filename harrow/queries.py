@@ -674,7 +674,7 @@ def tfidf_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = articles(spark, sf_dir).where("label_standard is not null").select("doc_id", "text", (F.col("label_standard") == "fake").cast("int").alias("label"), H.sha256(N.key_letters("text")).alias("key"))
     grouped = training.duplicate_groups(rows, "doc_id", "key")
     split = staged(training.group_safe_split(grouped), "split")
-    return training.baselines(split.where("split = 'train'"), split.where("split <> 'train'"), features=20_000)
+    return training.baselines(split.where("split = 'train'"), split.where("split <> 'train'"))
 
 
 @query(f"SELECT DISTINCT sha256({KEY_C}) AS exact_text_hash FROM documents")

@@ -31,3 +31,13 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).columns[0] == "exact_group_id"
     assert set(SQL) <= set(__spark_entry__.oracle_sql())
+
+
+def test_tfidf_baselines_use_the_whole_vocabulary(spark, monkeypatch):
+    from harrow import queries
+    from harrow.plans import training
+
+    given, whole = {}, training.baselines.__defaults__[-1]
+    monkeypatch.setattr(training, "baselines", lambda train, test, **options: given.update(options) or train)
+    queries.QUERIES["tfidf_baselines"](spark, "/root/testdata/sf0.001")
+    assert given.get("features", whole) == whole == 100_000
