@@ -626,8 +626,8 @@ def cosine_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def benchmark_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = read(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), N.key_lower("text").alias("t"))
-    return similarity.nearest_reference(turns, "id", "t", read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), N.key_lower("text").alias("t")))
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), N.key_lower("text").alias("t"))
+    return similarity.nearest_reference(docs, "id", "t", read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), N.key_lower("text").alias("t")))
 
 
 @query()

@@ -107,6 +107,15 @@ def brute_cosine(texts, threshold):
     return {(a, b) for a in vec for b in vec if a < b and texts[a] != texts[b] and sum(w * vec[b].get(g, 0) for g, w in vec[a].items()) / norm[a] / norm[b] >= threshold}
 
 
+def test_benchmark_nearest_looks_into_documents(spark, tmp_path):
+    from harrow.queries import benchmark_nearest
+
+    item = "the capital of the old kingdom lies on a river between two hills and has seven stone bridges"
+    spark.createDataFrame([(1, item + " today"), (2, "nothing of the kind")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [(r["record_id_left"], r["record_id_right"]) for r in benchmark_nearest(spark, str(tmp_path)).collect()] == [("1", "7")]
+
+
 def test_gram_pairs_match_brute_force(spark):
     words = "haber metin olay kent gazete sabah akşam deniz kara hava yol köprü".split()
     texts = {str(i): " ".join(words[(i * k) % 12] for k in range(1, 12)) for i in range(1, 9)}
