@@ -10,10 +10,14 @@ solved in blocks of queries against blocks of rows, and the blocks' lists merged
 
 Edge cases. A vector that is null, empty or holds a null or non-finite component
 takes no part, nor does a null id; vectors are compared only with vectors of their
-own length; repeated rows (same id and vector) count once, and rows that share an
-id but not the vector are rows of their own; with fewer than k rows all are
+own length; repeated rows are rows of their own, as queries and as candidates, and
+only a row itself is no candidate of its query; with fewer than k rows all are
 returned; an empty table gives an empty result; other columns are ignored. Scores
 are exact as long as they fit 64 bits.
+
+Rows are copied to the query groups that may need them and dealt there over as many
+blocks as the group's rows fill; the group's queries go to those blocks alone.
+Where the bounds rule nothing out, that is every block: the work of brute force.
 """
 
 from __future__ import annotations
@@ -30,15 +34,20 @@ from harrow.llm.common import staged, table
 K = 10
 QUERY_MODULO = 100
 FACTOR = 1024
-#: Pivots for each vector length; the driver sees these and their cells' summaries only.
-PIVOTS = 32
+#: Pivots for each vector length grow with the root of its rows between these; the driver sees them and their cells' summaries only.
+LEAST_PIVOTS, MOST_PIVOTS = 32, 1024
 #: Steps of a cell's histogram of distances.
-STEPS = 128
+STEPS = 64
 QUERY_BLOCK, DATA_BLOCK = 2048, 8192
 #: Slack for rounding in the distances, relative to the largest norm.
 _EPS = 1e-9
 
 
+def pivots_for(n: int) -> int:
+    """How many pivots ``n`` rows get."""
+    return max(LEAST_PIVOTS, min(MOST_PIVOTS, int(np.sqrt(n))))
+
+
 def _lifted(x: np.ndarray, top: float, query: bool) -> np.ndarray:
     extra = np.zeros(len(x)) if query else np.sqrt(np.maximum(0.0, top - (x * x).sum(axis=1)))
     return np.concatenate([x, extra[:, None]], axis=1)
@@ -112,7 +121,7 @@ def _needed(frames: Iterator[pd.DataFrame], plan: dict) -> Iterator[pd.DataFrame
             far = _far(_lifted(_matrix(some["v"]), top, False), pivots)
             near = far <= reach[None, :]
             wanted = [np.flatnonzero(row) for row in np.stack([near[:, g].any(axis=1) for g in groups], axis=1)] if groups else [[]] * len(some)
-            yield pd.DataFrame({"key": some["key"], "groups": [list(map(int, g)) for g in wanted]})
+            yield pd.DataFrame({"key": some["key"], "dim": some["dim"], "groups": [list(map(int, g)) for g in wanted]})
 
 
 def _solved(frame: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -146,15 +155,19 @@ def top_k(vectors: DataFrame, k: int = K, modulo: int = QUERY_MODULO, factor: in
     fine = F.size(x) > 0
     fine = fine & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x"), fine.alias("fine")).where("fine and vec_id is not null")
-    rows = rows.select("vec_id", F.transform("x", lambda v: F.floor(v * factor).cast("long")).alias("v")).distinct()
-    rows = staged(rows.select("vec_id", "v", F.size("v").alias("dim"), F.xxhash64("vec_id", "v").alias("key"), (F.pmod("vec_id", F.lit(modulo)) == 0).alias("is_query")), "scaled")
+    rows = rows.select("vec_id", F.transform("x", lambda v: F.floor(v * factor).cast("long")).alias("v"))
+    # The staged table fixes the keys, one of its own for each row.
+    rows = staged(rows.select("vec_id", "v", F.size("v").alias("dim"), F.monotonically_increasing_id().alias("key"), (F.pmod("vec_id", F.lit(modulo)) == 0).alias("is_query")), "scaled")
     norm = F.aggregate("v", F.lit(0.0), lambda s, e: s + e.cast("double") * e.cast("double"))
     facts = {r["dim"]: r for r in rows.groupBy("dim").agg(F.max(norm).alias("top"), F.count("*").alias("n"), F.count_if("is_query").alias("q")).collect()}
-    first = Window.partitionBy("dim", "_deal").orderBy("key")
-    few = rows.withColumn("_deal", F.pmod("key", F.lit(64))).withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= PIVOTS)
-    few = few.withColumn("_r", F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("key")))).where(F.col("_r") <= PIVOTS)
+    spark = rows.sparkSession
+    wanted = F.broadcast(spark.createDataFrame([(d, pivots_for(f["n"])) for d, f in facts.items()], "dim int, _most int"))
+    first = Window.partitionBy("dim", "_deal").orderBy("_at")
+    few = rows.select("dim", "v", F.xxhash64("vec_id", "v").alias("_at"), F.pmod(F.xxhash64("key"), F.lit(64)).alias("_deal")).join(wanted, "dim")
+    few = few.withColumn("_r", F.row_number().over(first)).where("_r <= _most")
+    few = few.withColumn("_r", F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("_at")))).where("_r <= _most")
     chosen: dict[int, list] = {}
-    for r in few.select("dim", "v").collect():
+    for r in few.select("dim", "v").distinct().collect():
         chosen.setdefault(r["dim"], []).append(r["v"])
     tops = {d: float(f["top"]) * (1 + 1e-12) for d, f in facts.items()}
     pivots = {d: _lifted(np.array(v, np.float64), tops[d], False) for d, v in chosen.items()}
@@ -163,18 +176,23 @@ def top_k(vectors: DataFrame, k: int = K, modulo: int = QUERY_MODULO, factor: in
     seen = assigned.groupBy("dim", "query", "cell", "step").agg(F.count("*").alias("n")).toPandas()
     plan = {d: (pivots[d], tops[d], *query_groups(seen[seen["dim"] == d], pivots[d], tops[d], k)) for d in pivots}
 
-    schema = rows.sparkSession.createDataFrame
     homes = [(d, c, g, -(-int(seen.loc[(seen["dim"] == d) & seen["query"] & (seen["cell"] == c), "n"].sum()) // QUERY_BLOCK)) for d, p in plan.items() for g, cells in enumerate(p[2]) for c in cells]
-    home = schema(homes, "dim int, cell int, g int, chunks int")  # at most PIVOTS rows for each length
-    chunks = schema([(d, g, max(h[3] for h in homes if h[0] == d and h[2] == g)) for d, p in plan.items() for g in range(len(p[2]))], "dim int, g int, chunks int")
-    blocks = schema([(d, -(-int(f["n"]) // DATA_BLOCK)) for d, f in facts.items()], "dim int, blocks int")
-
-    queries = assigned.where("query").join(F.broadcast(home), ["dim", "cell"]).select("key", "g", F.pmod(F.xxhash64("key", F.lit(1)), F.col("chunks")).cast("int").alias("chunk"))
-    queries = rows.where("is_query").join(queries, "key").join(F.broadcast(blocks), "dim")
+    home = F.broadcast(spark.createDataFrame([h[:3] for h in homes], "dim int, cell int, g int"))  # as many rows as pivots, at most
+    chunks: dict[tuple[int, int], int] = {}
+    for d, _, g, n in homes:
+        chunks[d, g] = max(n, chunks.get((d, g), 1))
+    needed = staged(rows.mapInPandas(lambda f: _needed(f, plan), "key long, dim int, groups array<int>").where(F.size("groups") > 0), "needed")
+    counts = needed.select("dim", F.explode("groups").alias("g")).groupBy("dim", "g").agg(F.count("*").alias("n")).collect()
+    shape = [(r["dim"], r["g"], chunks[r["dim"], r["g"]], -(-r["n"] // DATA_BLOCK)) for r in counts]
+    shape = F.broadcast(spark.createDataFrame(shape, "dim int, g int, chunks int, blocks int"))
+
+    queries = assigned.where("query").join(home, ["dim", "cell"]).join(shape, ["dim", "g"])
+    queries = queries.select("key", "g", "blocks", F.pmod(F.xxhash64("key", F.lit(1)), F.col("chunks")).cast("int").alias("chunk"))
+    queries = rows.where("is_query").join(queries, "key")
     queries = queries.select("dim", "g", "chunk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "key", "vec_id", "v", F.lit(True).alias("asks"))
-    data = rows.mapInPandas(lambda f: _needed(f, plan), "key long, groups array<int>").where(F.size("groups") > 0)
-    data = rows.join(data, "key").join(F.broadcast(blocks), "dim").select("dim", F.explode("groups").alias("g"), F.pmod(F.xxhash64("key", F.lit(2)), F.col("blocks")).cast("int").alias("block"), "key", "vec_id", "v")
-    data = data.join(F.broadcast(chunks), ["dim", "g"]).select("dim", "g", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "block", "key", "vec_id", "v", F.lit(False).alias("asks"))
+    data = needed.select("key", "dim", F.explode("groups").alias("g")).join(shape, ["dim", "g"])
+    data = data.select("key", "g", "chunks", F.pmod(F.xxhash64("key", F.lit(2)), F.col("blocks")).cast("int").alias("block"))
+    data = rows.join(data, "key").select("dim", "g", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "block", "key", "vec_id", "v", F.lit(False).alias("asks"))
     found = queries.unionByName(data).groupBy("dim", "g", "chunk", "block").applyInPandas(lambda f: _solved(f, k), "qkey long, query_id long, vec_id long, score long")
     best = Window.partitionBy("qkey").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -187,12 +205,12 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(d.e AS DOUBLE[])) AS BIGINT) AS score
-  FROM v q JOIN v d ON q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id
+  SELECT q.r, q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(d.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id % 100 = 0 AND q.r <> d.r
 )
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY rank <= 10
 """

@@ -403,11 +403,11 @@ def test_mixing_is_native(spark):
 
 
 def brute_top(vectors, k=10, modulo=100):
-    fine = {(i, tuple(math.floor(1024 * float(np.float32(x))) for x in v)) for i, v in vectors if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
+    fine = [(i, tuple(math.floor(1024 * float(np.float32(x))) for x in v)) for i, v in vectors if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in fine:
+    for at, q in enumerate(fine):
         if q[0] % modulo == 0:
-            scores = sorted((-sum(a * b for a, b in zip(q[1], d[1], strict=True)), d[0]) for d in fine if d != q and len(d[1]) == len(q[1]))
+            scores = sorted((-sum(a * b for a, b in zip(q[1], d[1], strict=True)), d[0]) for n, d in enumerate(fine) if n != at and len(d[1]) == len(q[1]))
             out += [(q[0], n + 1, i, -s) for n, (s, i) in enumerate(scores[:k])]
     return sorted(out)
 
@@ -418,6 +418,7 @@ def test_top_k_matches_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(5, 8))
     vectors = [(i, (centres[i % 5] * (1 + i % 3) + rng.normal(size=8) * 0.05).astype(np.float32).tolist()) for i in range(900)]
+    vectors += vectors[:1] * 40 + vectors[100:150] + vectors[300:301]  # repeated rows, queries among them
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
     assert sorted(tuple(r) for r in topk.top_k(df).select("query_id", "rank", "vec_id", "score").collect()) == brute_top(vectors)
 
