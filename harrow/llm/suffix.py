@@ -8,19 +8,22 @@ in suffix order, and only this part of the order is built:
    difference cover is sampled. For any two positions there is a shift below v
    that takes both into the sample. So if two suffixes agree on ``length`` bytes,
    two sampled ones agree on their ``length - v + 1`` bytes. The sample is ranked
-   by these bytes; equal ones share a rank, and only shared ranks matter.
+   by 64 bits of these bytes; equal ones share a rank, and only shared ranks matter.
 2. *Suffix buckets.* A suffix without a sampled position of shared rank among its
-   next v cannot repeat and drops out. The others go to buckets by their key, a
-   fingerprint of the first ``length`` bytes; equal keys are what remains of a long
-   tie. The key ranges are built one after the other, and each is sorted one
-   bucket at a time, so that memory and disk hold one range.
+   next v cannot repeat and drops out. The others go to buckets by 128 bits of
+   their first ``length`` bytes; equal keys are what remains of a long tie. The key
+   ranges are built one after the other, and each is sorted one bucket at a time,
+   so that memory and disk hold one range.
 3. *Removal.* Suffixes with an equal neighbour mark their bytes.
 
 Text is only dealt out in blocks of whole documents; what the blocks exchange are
-sorted fingerprints, one per block however often it occurs there, and one bit each
-in answer. A passage that all documents share is thus one entry per block.
-Fingerprints have 64 bits: with n suffixes left, a false match has a chance of
-about n^2 / 2^65 over the whole corpus.
+sorted keys, one per block however often it occurs there, and one bit each in
+answer. A passage that all documents share is thus one entry per block. With n
+suffixes left, a false match has a chance of about n^2 / 2^129 over the whole
+corpus; collisions of the sample's 64 bits only let a suffix through to step 2.
+
+A block takes about 25 times its bytes of a worker's memory, and a text is not
+split, so that the longest text bounds a worker from below.
 
 Edge cases. A null text counts as empty; texts shorter than ``length`` lose
 nothing; repeated rows are documents of their own, and so all their bytes repeat
@@ -47,36 +50,38 @@ LENGTH = 200
 #: A perfect difference cover: every number modulo V is a difference of two members.
 COVER = (0, 1, 3, 9, 27, 49, 56, 61, 77, 81)
 V = 91
-#: Bytes of text in a block, which is also the greatest number of suffixes for each key bucket.
+#: Bytes of text in a block.
 BLOCK_BYTES = 4 << 20
+#: Blocks for each bucket of the sample and of the suffixes, so that a bucket holds as many keys as that at most.
+SAMPLE_BLOCKS, SUFFIX_BLOCKS = 8, 2
 #: Key ranges that are built one after the other.
 RANGES = 2
 
 _CHUNK = 1 << 17
-_BASE = 0x9E3779B97F4A7C15
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _U = np.uint64
 ANSWER = "blk int, bucket int, bits binary"
 _CELL = "bucket int, blk int, n int, payload binary"
 
 
-@lru_cache(maxsize=4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, and a random word for each byte."""
+@lru_cache(maxsize=8)
+def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse modulo 2^64, and a random word for each byte."""
     out = []
-    for b in (_BASE, pow(_BASE, -1, 1 << 64)):
+    for b in (_BASES[which], pow(_BASES[which], -1, 1 << 64)):
         p, have, top = np.ones(n, _U), 1, b
         while have < n:
             m = min(have, n - have)
             p[have : have + m] = p[:m] * _U(top)
             have, top = have + m, top * top % (1 << 64)
         out.append(p)
-    words = np.random.default_rng(20_021).integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+    words = np.random.default_rng(20_021 + which).integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
     return out[0], out[1], words
 
 
-def fingerprints(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """64-bit fingerprints of the ``length`` bytes from each of the ascending positions."""
-    power, inverse, word = _powers(_CHUNK + length)
+def fingerprints(text: np.ndarray, at: np.ndarray, length: int, which: int = 0) -> np.ndarray:
+    """64-bit fingerprints of the ``length`` bytes from each of the ascending positions; ``which`` of two independent ones."""
+    power, inverse, word = _powers(_CHUNK + length, which)
     out = np.empty(len(at), _U)
     cuts = np.searchsorted(at, np.arange(0, len(text) + _CHUNK, _CHUNK))
     for c in range(len(cuts) - 1):
@@ -131,44 +136,64 @@ class _Block:
         return np.flatnonzero(near)
 
 
-def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct keys, the place of each key among them, and which occur more than once."""
+def _sorted(keys: np.ndarray, check: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the keys by (key, check), and which are equal to the one before."""
     order = np.argsort(keys, kind="stable")
     ranked = keys[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = ranked[1:] != ranked[:-1]
-    number = np.cumsum(new) - 1
-    place = np.empty(len(keys), np.int64)
-    place[order] = number
-    return ranked[new], place, np.bincount(number, minlength=int(new.sum())) > 1
-
-
-def _cells(blk: int, keys: np.ndarray, twice: np.ndarray, buckets: int, low: int, high: int) -> pa.Table:
-    """Sorted keys cut into buckets; each cell holds byte planes of their differences, and flags."""
+    same = ranked[1:] == ranked[:-1]
+    if check is not None:
+        differ = check[order[1:]] != check[order[:-1]]
+        if (same & differ).any():  # a collision of the first 64 bits
+            order = np.lexsort((check, keys))
+            ranked = keys[order]
+            same, differ = ranked[1:] == ranked[:-1], check[order[1:]] != check[order[:-1]]
+        same &= ~differ
+    return order, same
+
+
+class _Keys:
+    """Sorted distinct keys (64 bits, and 64 more where the last word counts), each key's place, and which occur twice."""
+
+    def __init__(self, keys: np.ndarray, check: np.ndarray | None = None):
+        order, same = _sorted(keys, check)
+        new = np.ones(len(keys), bool)
+        new[1:] = ~same
+        number = np.cumsum(new) - 1
+        self.place = np.empty(len(keys), np.int64)
+        self.place[order] = number
+        first = order[new]
+        self.keys, self.check = keys[first], None if check is None else check[first]
+        self.twice = np.bincount(number, minlength=len(first)) > 1
+
+
+def _cells(blk: int, found: _Keys | None, buckets: int, low: int, high: int) -> pa.Table:
+    """Sorted keys cut into buckets; each cell holds byte planes of their differences, the checks, and flags."""
     rows: list[tuple] = []
-    edges = (np.arange(low, high + 1, dtype=object) * (1 << 32) + buckets - 1) // buckets
-    top = (keys >> _U(32)).astype(np.int64)
-    cuts = np.searchsorted(top, edges.astype(np.int64))
-    for k in range(high - low):
-        a, b = cuts[k], cuts[k + 1]
-        if a < b:
-            steps = np.diff(keys[a:b], prepend=_U(0)).astype("<u8")
-            planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T)
-            rows.append((low + k, blk, int(b - a), planes.tobytes() + np.packbits(twice[a:b]).tobytes()))
+    if found is not None:
+        edges = (np.arange(low, high + 1, dtype=object) * (1 << 32) + buckets - 1) // buckets
+        top = (found.keys >> _U(32)).astype(np.int64)
+        cuts = np.searchsorted(top, edges.astype(np.int64)).tolist()
+        for k in range(high - low):
+            a, b = cuts[k], cuts[k + 1]
+            if a < b:
+                steps = np.diff(found.keys[a:b], prepend=_U(0)).astype("<u8")
+                planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+                check = b"" if found.check is None else found.check[a:b].astype("<u8").tobytes()
+                rows.append((low + k, blk, b - a, planes + check + np.packbits(found.twice[a:b]).tobytes()))
     return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary()))], ["bucket", "blk", "n", "payload"])
 
 
 def _resolve(cells: pa.Table) -> pa.Table:
     """One bucket sorted: for each block's keys, whether they repeat there or in another block."""
-    keys, flags, sizes = [], [], cells.column("n").to_pylist()
+    keys, checks, flags, sizes = [], [], [], cells.column("n").to_pylist()
     for n, payload in zip(sizes, cells.column("payload").to_pylist(), strict=True):
         steps = np.ascontiguousarray(np.frombuffer(payload, np.uint8, 8 * n).reshape(8, n).T).view("<u8").ravel()
         keys.append(np.cumsum(steps, dtype=_U))
-        flags.append(np.unpackbits(np.frombuffer(payload, np.uint8, offset=8 * n), count=n).astype(bool))
-    every = np.concatenate(keys)
-    order = np.argsort(every, kind="stable")
-    ranked = every[order]
-    same = ranked[1:] == ranked[:-1]
+        mark = len(payload) - -(-n // 8)
+        if mark > 8 * n:
+            checks.append(np.frombuffer(payload, "<u8", n, 8 * n))
+        flags.append(np.unpackbits(np.frombuffer(payload, np.uint8, offset=mark), count=n).astype(bool))
+    order, same = _sorted(np.concatenate(keys), np.concatenate(checks) if checks else None)
     repeat = np.concatenate(flags)
     repeat[order[1:][same]] = True
     repeat[order[:-1][same]] = True
@@ -194,38 +219,47 @@ def _by_kind(answers: pa.Table) -> tuple[dict[int, bytes], dict[int, bytes]]:
     return out
 
 
-def _candidates(block: _Block, sample_bits: dict[int, bytes], buckets: int, length: int) -> np.ndarray:
+def _sample_keys(block: _Block, length: int) -> tuple[np.ndarray, _Keys]:
     at = block.sample(length)
-    keys, place, _ = _distinct(fingerprints(block.text, at, length - V + 1))
-    return block.suffixes(at[_answered(keys, sample_bits, buckets)[place]], length)
+    return at, _Keys(fingerprints(block.text, at, length - V + 1))
+
+
+def _candidates(block: _Block, sample_bits: dict[int, bytes], buckets: int, length: int) -> np.ndarray:
+    at, found = _sample_keys(block, length)
+    return block.suffixes(at[_answered(found.keys, sample_bits, buckets)[found.place]], length)
+
+
+def _suffix_keys(block: _Block, at: np.ndarray, length: int, buckets: int, low: int, high: int) -> _Keys:
+    keys = fingerprints(block.text, at, length)
+    if (low, high) != (0, buckets):
+        bucket = ((keys >> _U(32)) * _U(buckets)) >> _U(32)
+        here = (bucket >= low) & (bucket < high)
+        at, keys = at[here], keys[here]
+    return _Keys(keys, fingerprints(block.text, at, length, 1))
 
 
 def _sample_cells(docs: pa.Table, buckets: int, length: int) -> pa.Table:
-    block = _Block(docs)
-    keys, _, twice = _distinct(fingerprints(block.text, block.sample(length), length - V + 1))
-    return _cells(docs.column("_blk")[0].as_py(), keys, twice, buckets, 0, buckets)
+    return _cells(docs.column("_blk")[0].as_py(), _sample_keys(_Block(docs), length)[1], buckets, 0, buckets)
 
 
-def _suffix_cells(docs: pa.Table, answers: pa.Table, buckets: int, length: int, low: int, high: int) -> pa.Table:
+def _suffix_cells(docs: pa.Table, answers: pa.Table, sample_buckets: int, buckets: int, length: int, low: int, high: int) -> pa.Table:
     if not docs.num_rows:
-        return _cells(0, np.zeros(0, _U), np.zeros(0, bool), buckets, low, high)
+        return _cells(0, None, buckets, low, high)
     block = _Block(docs)
-    found = fingerprints(block.text, _candidates(block, _by_kind(answers)[0], buckets, length), length)
-    bucket = ((found >> _U(32)) * _U(buckets)) >> _U(32)
-    keys, _, twice = _distinct(found[(bucket >= low) & (bucket < high)])
-    return _cells(docs.column("_blk")[0].as_py(), keys, twice, buckets, low, high)
+    at = _candidates(block, _by_kind(answers)[0], sample_buckets, length)
+    return _cells(docs.column("_blk")[0].as_py(), _suffix_keys(block, at, length, buckets, low, high), buckets, low, high)
 
 
-def _suffix_task(buckets: int, length: int, low: int, high: int):
-    return lambda docs, answers: _suffix_cells(docs, answers, buckets, length, low, high)
+def _suffix_task(sample_buckets: int, buckets: int, length: int, low: int, high: int):
+    return lambda docs, answers: _suffix_cells(docs, answers, sample_buckets, buckets, length, low, high)
 
 
-def _removed(docs: pa.Table, answers: pa.Table, buckets: int, length: int, texts: bool) -> pa.Table:
+def _removed(docs: pa.Table, answers: pa.Table, sample_buckets: int, buckets: int, length: int, texts: bool) -> pa.Table:
     block = _Block(docs)
     sample_bits, suffix_bits = _by_kind(answers)
-    at = _candidates(block, sample_bits, buckets, length)
-    keys, place, _ = _distinct(fingerprints(block.text, at, length))
-    at = at[_answered(keys, suffix_bits, buckets)[place]]
+    at = _candidates(block, sample_bits, sample_buckets, length)
+    found = _suffix_keys(block, at, length, buckets, 0, buckets)
+    at = at[_answered(found.keys, suffix_bits, buckets)[found.place]]
     mark = np.zeros(len(block.text) + 1, np.int32)
     np.add.at(mark, at, 1)
     np.add.at(mark, at + length, -1)
@@ -259,19 +293,18 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, texts: bool = True, b
     dealt = docs.select(row.alias("_row"), F.col(f"`{id_col}`").alias("_id"), text.cast("binary").alias("_text"), F.pmod(F.xxhash64(F.col(f"`{id_col}`"), text), F.lit(blocks)).cast("int").alias("_blk"))
     plain = dealt.select("_id", "_text", "_blk")
 
-    sample = plain.groupBy("_blk").applyInArrow(lambda d: _sample_cells(d, blocks, length), _CELL)
+    sample_buckets, buckets = -(-blocks // SAMPLE_BLOCKS), -(-blocks // SUFFIX_BLOCKS)
+    sample = plain.groupBy("_blk").applyInArrow(lambda d: _sample_cells(d, sample_buckets, length), _CELL)
     ranks = staged(sample.groupBy("bucket").applyInArrow(_resolve, ANSWER), "cover-ranks")
     answers = ranks.withColumn("kind", F.lit(0))
-    known = [ranks]
     for r in range(ranges):
-        low, high = blocks * r // ranges, blocks * (r + 1) // ranges
+        low, high = buckets * r // ranges, buckets * (r + 1) // ranges
         if low < high:
             asked = ranks.withColumn("kind", F.lit(0)).groupBy("blk")
-            cells = plain.groupBy("_blk").cogroup(asked).applyInArrow(_suffix_task(blocks, length, low, high), _CELL)
-            known.append(staged(cells.groupBy("bucket").applyInArrow(_resolve, ANSWER), "suffix-answers"))
-            answers = answers.unionByName(known[-1].withColumn("kind", F.lit(1)))
+            cells = plain.groupBy("_blk").cogroup(asked).applyInArrow(_suffix_task(sample_buckets, buckets, length, low, high), _CELL)
+            answers = answers.unionByName(staged(cells.groupBy("bucket").applyInArrow(_resolve, ANSWER), "suffix-answers").withColumn("kind", F.lit(1)))
     fields = [("_row", dealt.schema["_row"].dataType), ("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()), *([("text", T.StringType())] if texts else [])]
-    return dealt.groupBy("_blk").cogroup(answers.groupBy("blk")).applyInArrow(lambda d, a: _removed(d, a, blocks, length, texts), T.StructType([T.StructField(n, t) for n, t in fields]))
+    return dealt.groupBy("_blk").cogroup(answers.groupBy("blk")).applyInArrow(lambda d, a: _removed(d, a, sample_buckets, buckets, length, texts), T.StructType([T.StructField(n, t) for n, t in fields]))
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +80,28 @@ def test_suffix_over_many_blocks(spark, block_bytes):
         assert tuple(r[1:5]) == want[r["doc_id"]] and hashlib.sha256(r["text"].encode()).hexdigest() == r["kept_sha256"]
 
 
+def test_suffix_keys_that_collide_are_told_apart_by_their_second_half():
+    keys, check = np.array([7, 7, 7, 1, 7, 1], np.uint64), np.array([3, 2, 3, 9, 2, 8], np.uint64)
+    found = suffix._Keys(keys, check)
+    assert found.keys.tolist() == [1, 1, 7, 7] and found.check.tolist() == [8, 9, 2, 3] and found.twice.tolist() == [False, False, True, True]
+    assert [(found.keys[p], found.check[p]) for p in found.place] == list(zip(keys, check, strict=True))
+
+
+def test_suffix_sample_keys_that_all_collide_change_nothing(monkeypatch):
+    """The sample only filters: with one fingerprint for all of it, and for the suffixes' first half, the result is the same."""
+    rng = np.random.default_rng(8)
+    passage = "".join(rng.choice(list("ab "), 400))
+    texts = ["".join(rng.choice(list("ab "), 300)) + passage[i * 30 :] for i in range(5)] + ["ab" * 300]
+    whole = suffix.fingerprints
+    monkeypatch.setattr(suffix, "fingerprints", lambda text, at, length, which=0: whole(text, at, length, which) if which else np.full(len(at), 5, np.uint64))
+    docs = pa.table({"_id": list(range(6)), "_text": [t.encode() for t in texts], "_row": list(range(6)), "_blk": pa.array([0] * 6, pa.int32())})
+    sample = suffix._resolve(suffix._sample_cells(docs, 1, 200)).append_column("kind", pa.array([0]))
+    suffixes = suffix._resolve(suffix._suffix_cells(docs, sample, 1, 1, 200, 0, 1)).append_column("kind", pa.array([1]))
+    out = suffix._removed(docs, pa.concat_tables([sample, suffixes]), 1, 1, 200, False)
+    got = [tuple(r.values())[1:] for r in out.to_pylist()]
+    assert got == brute_removed(texts, 200)
+
+
 def test_suffix_edge_cases(odd, clashing, empty):
     got = suffix.substring_dedup(odd, texts=True).select("_row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text").collect()
     assert sorted(tuple(r[1:5]) for r in got) == sorted(brute_removed([r[1] for r in ODD], 200))
