@@ -153,11 +153,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vec"), F.col(label_col).alias("label"))
     bad = F.exists("vec", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) | ~F.exists("vec", lambda v: v != 0)
     able = F.col("vec").isNotNull() & F.col("label").isNotNull() & ~F.coalesce(bad, F.lit(True))
-    # -0.0 and 0.0 are one value; classes are told apart by their vector, not by a hash.
+    # -0.0 and 0.0 are one value; classes are told apart by their vector, and the staged table fixes their numbers.
     marked = rows.withColumn("_class", F.when(able, F.struct("label", F.transform("vec", lambda v: v + F.lit(0.0)).alias("v"))))
     classes = staged(
         marked.where(F.col("_class").isNotNull()).groupBy("_class").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))
-        .select(F.xxhash64("_class").alias("rep"), "_class", "least", "weight", F.size("_class.v").alias("dim")),
+        .select(F.monotonically_increasing_id().alias("rep"), "_class", "least", "weight", F.size("_class.v").alias("dim")),
         "vector-classes",
     )
     points = classes.select("rep", F.col("_class.label").alias("label"), F.col("_class.v").alias("vec"), "dim", "weight")
@@ -183,7 +183,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
     named = named.join(smallest, "component").select("_class", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
     out = marked.select("vec_id", "_class").join(named, "_class", "left")
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    result = staged(out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept")), "near-vectors")
+    drop_staged(classes, found, comp)
+    return result
 
 
 def op5_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
