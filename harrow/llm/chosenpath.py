@@ -118,7 +118,7 @@ def chosen_paths(tokens: np.ndarray, runs: int, levels: int = LEVELS, threshold:
 
 
 def _pathed(batches: Iterator[pa.RecordBatch], words: int, runs: int, levels: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    """Documents -> set hash, size, sketch, and the nodes of each level with their parents."""
+    """Documents -> 128 bits of the set, size, sketch, and the nodes of each level with their parents."""
     for batch in batches:
         keys, sizes, sketches, parents, nodes, counts = [], [], [], [], [], []
         for text in batch.column(1).to_pylist():
@@ -128,13 +128,13 @@ def _pathed(batches: Iterator[pa.RecordBatch], words: int, runs: int, levels: in
                 for column in (keys, sketches, parents, nodes, counts):
                     column.append(None)
                 continue
-            keys.append(xxhash.xxh3_64_intdigest(tokens.tobytes()) - 2**63)
+            keys.append(xxhash.xxh3_128_digest(tokens.tobytes()))
             sketches.append(sketch(tokens).tobytes())
             levels_ = chosen_paths(tokens, runs, levels, threshold)
             parents.append(np.concatenate([p for p, _ in levels_]).view(np.int64))
             nodes.append(np.concatenate([c for _, c in levels_]).view(np.int64))
             counts.append(np.repeat(np.arange(1, levels + 1, dtype=np.int32), [len(c) for _, c in levels_]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(parents, pa.list_(pa.int64())), pa.array(nodes, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32())), batch.column(2)], ["_id", "rep", "size", "sketch", "parents", "nodes", "levels", "_hash"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(parents, pa.list_(pa.int64())), pa.array(nodes, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32())), batch.column(2)], ["_id", "set", "size", "sketch", "parents", "nodes", "levels", "_hash"])
 
 
 _CELL = ["node", "a", "b"]
@@ -235,11 +235,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     """
     runs = runs_needed(recall, levels)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(F.col(text_col)).alias("_hash"))
-    schema = "_id long, rep long, size long, sketch binary, parents array<long>, nodes array<long>, levels array<int>, _hash long"
+    schema = "_id long, set binary, size long, sketch binary, parents array<long>, nodes array<long>, levels array<int>, _hash long"
     pathed = staged(rows.mapInArrow(lambda b: _pathed(b, words, runs, levels, threshold), schema), "paths")
     who = F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_hash")
     sample = F.min_by(F.struct("size", "sketch", "parents", "nodes", "levels"), who)
-    classes = staged(pathed.where("rep is not null").groupBy("rep").agg(F.min(who).alias("who"), F.count("*").alias("weight"), sample.alias("x")).select("rep", "who", "weight", "x.*"), "classes")
+    # Equal sets by 128 bits of them; the staged table fixes the classes' numbers.
+    equal = pathed.where("set is not null").groupBy("set").agg(F.min(who).alias("who"), F.count("*").alias("weight"), sample.alias("x"))
+    classes = staged(equal.select(F.monotonically_increasing_id().alias("rep"), "set", "who", "weight", "x.*"), "classes")
     steps = classes.select("rep", F.explode(F.arrays_zip("parents", "nodes", "levels")).alias("s")).select("rep", F.col("s.parents").alias("parent"), F.col("s.nodes").alias("node"), F.col("s.levels").alias("level"))
     cells = split = None
     done_with: list[DataFrame] = []
@@ -274,16 +276,21 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     drop_staged(*done_with, cells, needed, sets)
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = components(found.select(F.col("rep").alias("a"), F.col("to").alias("b")))
-    named = classes.select("rep", "who", "weight").join(linked, "rep", "left").join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = classes.select("rep", "set", "who", "weight").join(linked, "rep", "left").join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     named = named.join(named.groupBy("component").agg(F.min("who").alias("head")), "component")
-    named = named.select("rep", F.col("who._id").alias("class_id"), "head", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    out = pathed.select("_id", "_hash", "rep").join(named, "rep", "left")
+    named = named.select("set", F.col("who._id").alias("class_id"), "head", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    out = pathed.select("_id", "_hash", "set").join(named, "set", "left")
     alone = F.col("head").isNull()
     mine = F.col("_id").eqNullSafe(F.col("head._id")) & (F.col("_hash") == F.col("head._hash"))
-    return out.select(
-        F.col("_id").alias("doc_id"), F.when(alone, F.col("_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.col("_id")).otherwise(F.col("head._id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (alone | F.coalesce(mine, F.lit(False))).alias("kept"), F.col("_hash").alias("text_hash"),
+    result = staged(
+        out.select(
+            F.col("_id").alias("doc_id"), F.when(alone, F.col("_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.col("_id")).otherwise(F.col("head._id")).alias("component_id"),
+            F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (alone | F.coalesce(mine, F.lit(False))).alias("kept"), F.col("_hash").alias("text_hash"),
+        ),
+        "near-documents",
     )
+    drop_staged(pathed, classes, found, comp)
+    return result
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -293,7 +300,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(packed(docs), F.col(f"`{id_col}`").cast("long").alias("_key"), F.xxhash64(F.col(f"`{text_col}`")).alias("_hash"), _has_words(F.col(f"`{text_col}`")).alias("_able"))
     left = rows.join(gone, F.col("_key").eqNullSafe(F.col("_gone")) & (F.col("_hash") == F.col("_gone_hash")), "left_anti")
     # Rows that repeat both id and text are one group too; texts without words are no copies of each other.
-    able = left.where("_able").withColumn("_n", F.row_number().over(Window.partitionBy("_key", "_hash").orderBy(F.lit(0)))).where("_n = 1").drop("_n")
+    able = left.where("_able").withColumn("_n", F.row_number().over(Window.partitionBy("_key", "_hash").orderBy(F.xxhash64("_row")))).where("_n = 1").drop("_n")
     both = able.unionByName(left.where("not _able"))
     return both.select(*unpacked(both, docs.columns))
 
