@@ -1,10 +1,14 @@
 """HTML extraction by layout-aware rendering.
 
 A tolerant tokenizer feeds a tree builder that closes elements whose end tags HTML
-lets authors leave out; visibility rules drop what a browser would not show; the
-renderer then emits all visible text, collapsing white space as inline layout
-does, keeping block spacing, list markers and indents, preformatted text, and the
-columns of tables.
+lets authors leave out; visibility rules drop what a browser would not show: the
+``hidden`` attribute, ``display: none`` with all that is inside, ``visibility``
+as it is inherited and taken back, by style attributes and by the ``<style>``
+sheets' rules of plain selectors (element, class, id), closed ``details``, and of
+drawings all but their text. The renderer then emits all visible text, collapsing
+white space as inline layout does, keeping block spacing, list markers and indents,
+preformatted text, and the columns of tables, cells over several rows or columns
+laid out on the table's grid.
 
 Edge cases. Null and empty pages give an empty text; broken, unclosed and deeply
 nested markup is read as far as it goes, without recursion; a page of any length
@@ -15,6 +19,7 @@ carried by the caller.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
 
@@ -31,12 +36,16 @@ _LOOSE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]
 DEPTH = 512
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_DECLARED = re.compile(r"(?:^|[;{])\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
+_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
+_SELECTOR = re.compile(r"([a-z][a-z0-9-]*|\*)?((?:[.#][\w-]+)*)\Z", re.I)
+#: Attributes that may bear on what is shown and where.
+_TELLING = re.compile(r"hidden|style|type|start|span|open", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is text up to their end tag.
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
-NEVER_SHOWN = frozenset("head script style template title noscript iframe noembed noframes datalist object audio video canvas svg math".split())
+NEVER_SHOWN = frozenset("head script style template title noscript iframe noembed noframes datalist object audio video canvas defs desc metadata symbol clippath marker pattern annotation annotation-xml".split())
 #: Block elements, with the blank lines around them.
 BLOCK = {**dict.fromkeys("address article aside body center details dialog dd div dl dt fieldset figcaption figure footer form header hgroup html li main menu nav ol optgroup option section summary ul table caption thead tbody tfoot tr td th".split(), 0), **dict.fromkeys("blockquote h1 h2 h3 h4 h5 h6 p pre".split(), 1)}
 CLOSE_P = frozenset("address article aside blockquote center details dialog div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table ul".split())
@@ -48,17 +57,19 @@ IMPLIED = {
     "option": ({"option"}, {"select", "datalist", "optgroup"}), "optgroup": ({"option", "optgroup"}, {"select"}), "body": ({"head"}, set()),
 }
 _FIRST_IN_BODY = frozenset({*CLOSE_P, "span", "a", "b", "i", "em", "strong", "img", "body"})
+#: Elements of drawings and formulas, in which a slash ends an element at once.
+FOREIGN = frozenset({"svg", "math"})
 #: An end tag does not close elements outside of these, unless it is theirs.
 SCOPE = frozenset({"table", "td", "th", "caption"})
 
 
 class Node:
-    """An element: its name, whether it is shown, its children (texts and nodes)."""
+    """An element: its name, the text of its attributes, its children (texts and nodes)."""
 
-    __slots__ = ("name", "shown", "children", "start")
+    __slots__ = ("name", "attributes", "children")
 
-    def __init__(self, name: str, shown: bool = True, start: int = 1):
-        self.name, self.shown, self.start = name, shown, start
+    def __init__(self, name: str, attributes: str = ""):
+        self.name, self.attributes = name, attributes
         self.children: list[Node | str] = []
 
 
@@ -69,15 +80,76 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
-def _visible(name: str, text: str) -> tuple[bool, int]:
-    if name in NEVER_SHOWN:
-        return False, 1
-    if not text or text == "/":
-        return True, 1
-    attributes = _attributes(text)
-    shown = not ("hidden" in attributes or (name == "input" and attributes.get("type", "").lower() == "hidden") or _HIDING.search(attributes.get("style", "")))
-    start = attributes.get("start", "1") if name == "ol" else "1"
-    return shown, int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
+def _declared(style: str) -> list[tuple[str, str, bool]]:
+    return [(m[1].lower(), m[2].lower(), bool(m[3])) for m in _DECLARED.finditer(style)]
+
+
+class Sheet:
+    """What style sheets say about ``display`` and ``visibility``, by plain compound selectors.
+
+    Rules within conditional blocks and selectors of other kinds are passed over.
+    """
+
+    def __init__(self, sheets: list[str]):
+        self.rules: dict[str, list[tuple]] = {}
+        at = 0
+        for sheet in sheets:
+            if "display" not in sheet.lower() and "visibility" not in sheet.lower():
+                continue
+            plain = re.sub(r"/\*.*?(?:\*/|\Z)|<!--|-->", "", sheet, flags=re.S)
+            plain = re.sub(r"@[^{};]*\{(?:[^{}]*\{[^{}]*\})*[^{}]*\}|@[^{};]*;", "", plain)
+            for m in _RULE.finditer(plain):
+                said = _declared("{" + m[2])
+                for selector in m[1].split(",") if said else ():
+                    found = _SELECTOR.match(selector.strip())
+                    if found and found[0]:
+                        marks = re.findall(r"[.#][\w-]+", found[2])
+                        name = (found[1] or "*").lower()
+                        weight = (sum(x[0] == "#" for x in marks), sum(x[0] == "." for x in marks), name != "*")
+                        at += 1
+                        self.rules.setdefault(marks[-1] if marks else name, []).append((name, frozenset(marks), weight, at, said))
+
+    def style(self, name: str, attributes: dict[str, str]) -> dict[str, str]:
+        """display and visibility of an element, as far as they are declared."""
+        best: dict[str, tuple] = {}
+        mine = {"." + c for c in attributes.get("class", "").split()} | ({"#" + attributes["id"]} if "id" in attributes else set())
+        for key in (name, "*", *sorted(mine)) if self.rules else ():
+            for of, marks, weight, at, said in self.rules.get(key, ()):
+                if of in ("*", name) and marks <= mine:
+                    for what, value, important in said:
+                        best[what] = max(best.get(what, ((),)), ((important, 0, weight, at), value))
+        for at, (what, value, important) in enumerate(_declared(attributes.get("style", ""))):
+            best[what] = max(best.get(what, ((),)), ((important, 1, (0, 0, False), at), value))
+        return {what: value for what, (_, value) in best.items()}
+
+
+class _Facts:
+    """How an element is laid out: whether it is shown at all, its visibility (None: inherited), and its numbers."""
+
+    __slots__ = ("shown", "visible", "start", "colspan", "rowspan", "open")
+
+    def __init__(self, node: Node, sheet: Sheet):
+        self.shown, self.visible, self.start, self.colspan, self.rowspan, self.open = node.name not in NEVER_SHOWN, None, 1, 1, 1, False
+        if not self.shown or not (sheet.rules or _TELLING.search(node.attributes)):
+            return
+        attributes = _attributes(node.attributes)
+        style = sheet.style(node.name, attributes)
+        display = style.get("display", "none" if "hidden" in attributes else "")
+        self.shown = not (display == "none" or (node.name == "input" and attributes.get("type", "").lower() == "hidden"))
+        if "visibility" in style:
+            self.visible = style["visibility"] not in ("hidden", "collapse") if style["visibility"] != "inherit" else None
+        self.open = "open" in attributes
+        if node.name in ("ol", "td", "th"):
+            self.start = _whole(attributes.get("start", ""), 1)
+            self.colspan = max(1, min(1000, _whole(attributes.get("colspan", ""), 1)))
+            self.rowspan = max(0, min(65534, _whole(attributes.get("rowspan", ""), 1)))  # 0: to the group's end
+
+
+_PLAIN = Sheet([])
+
+
+def _whole(text: str, default: int) -> int:
+    return int(text) if re.fullmatch(r"\s*-?\d{1,9}\s*", text) else default
 
 
 def build_tree(html: str) -> Node:
@@ -133,15 +205,14 @@ def build_tree(html: str) -> Node:
             close(*IMPLIED[name])
         elif name in _FIRST_IN_BODY and len(stack) > 1 and any(x.name == "head" for x in stack):
             close({"head"}, set())
-        shown, start = _visible(name, m[3])
-        node = Node(name, shown, start)
+        node = Node(name, m[3])
         stack[-1].children.append(node)
-        if name in VOID:
+        if name in VOID or (m[3].endswith("/") and any(x.name in FOREIGN for x in stack)):
             continue
         if name in RAW:
             stop = re.compile(rf"</{name}[\s/>]", re.I).search(html, at)
             inside = html[at : stop.start() if stop else end]
-            if shown:
+            if name not in NEVER_SHOWN or name == "style":
                 node.children.append(unescape(inside) if name == "textarea" else inside)
             at = (html.find(">", stop.start()) + 1 or end) if stop else end
             continue
@@ -193,48 +264,115 @@ class _Lines:
         return out.strip("\n")
 
 
-def _table(rows: list[list[str]]) -> list[str]:
-    """Rows of cell texts as lines with aligned columns."""
-    width: dict[int, int] = {}
-    cells = [[c.split("\n") for c in row] for row in rows if any(row)]
-    for row in cells:
-        for i, cell in enumerate(row[:-1]):
-            width[i] = max(width.get(i, 0), *map(len, cell))
+#: A cell: its text, and the columns and rows that it is over.
+Cell = tuple[str, int, int]
+
+
+def grid(rows: list[tuple[int, list[Cell]]]) -> list[list[tuple[int, int, str]]]:
+    """For each row (group, cells) its (column, columns, text), cells from rows above as empty ones."""
+    out: list[list[tuple[int, int, str]]] = []
+    hanging: list[tuple[int, int, int]] = []  # (column, columns, rows to go; none: to the group's end)
+    group = None
+    for mine, cells in rows:
+        if mine != group:
+            hanging, group = [], mine
+        row = [(at, span, "") for at, span, _ in hanging]
+        left = sorted((at, span) for at, span, _ in hanging)
+        hanging = [(at, span, n - 1) for at, span, n in hanging if n != 1]
+        at = 0
+        for text, span, n in cells:
+            while left and left[0][0] <= at:
+                at = max(at, sum(left.pop(0)))
+            row.append((at, span, text))
+            if n != 1:
+                hanging.append((at, span, n - 1 if n else -1))
+            at += span
+        out.append(sorted(row))
+    return out
+
+
+def _table(rows: list[tuple[int, list[Cell]]]) -> list[str]:
+    """Rows of cells as lines with aligned columns."""
+    placed = [row for row in grid(rows) if any(text for _, _, text in row)]
+    starts = sorted({at for row in placed for at, _, _ in row})  # columns in which no cell begins take no room
+    number = {at: i for i, at in enumerate(starts)}
+    width = [0] * len(starts)
+    cells = [[(number[at], bisect_left(starts, at + span), text.split("\n")) for at, span, text in row] for row in placed]
+    for narrow in (True, False):
+        for row in cells:
+            for first, end, lines in row[:-1]:
+                if (end - first == 1) == narrow:
+                    spare = max(map(len, lines)) - sum(width[first:end]) - 3 * (end - first - 1)
+                    width[end - 1] += max(0, spare)
     lines = []
     for row in cells:
-        for k in range(max(map(len, row), default=0)):
-            parts = [(cell[k] if k < len(cell) else "") for cell in row]
-            lines.append(" | ".join([*(p.ljust(width[i]) for i, p in enumerate(parts[:-1])), parts[-1]]).rstrip())
+        for k in range(max(len(text) for _, _, text in row)):
+            line, at = "", 0
+            for first, end, text in row:
+                first = max(first, at)  # a cell from above may lie under a wide one
+                if end <= first:
+                    continue
+                for i in range(at, first):  # columns that this row leaves out
+                    line += " " * width[i] + " | "
+                part = text[k] if k < len(text) else ""
+                line += part.ljust(sum(width[first:end]) + 3 * (end - first - 1)) + " | "
+                at = end
+            lines.append(line[:-3].rstrip())
     return lines
 
 
+def _sheets(root: Node) -> Sheet:
+    found, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if node.name == "style":
+            found.append("".join(x for x in node.children if isinstance(x, str)))
+        else:
+            todo += [x for x in reversed(node.children) if not isinstance(x, str) and x.name != "template"]
+    return Sheet(found) if any("display" in x or "visibility" in x for x in map(str.lower, found)) else _PLAIN
+
+
+def _inner(node: Node, facts: _Facts) -> list:
+    """The children that are laid out."""
+    if node.name == "details" and not facts.open:
+        return [x for x in node.children if not isinstance(x, str) and x.name == "summary"][:1]
+    return node.children
+
+
 def render(root: Node) -> str:
     """The visible text of a tree."""
+    sheet = _sheets(root)
     out = _Lines()
     outer: list[_Lines] = []
-    rows: list[list[list[str]]] = []
+    rows: list[list[tuple[int, list[Cell]]]] = []
+    groups = 0
     counters: list[int | None] = []
     saved: list[str] = []
-    # A stack of things to do: a child to enter, or what follows a node's children.
-    todo: list = [("in", root)]
+    # A stack of things to do: a child to enter, or what follows a node's children; whether
+    # text is visible there, and whether it is within a drawing but not its text.
+    todo: list = [("in", root, True, False)]
     while todo:
-        what, node = todo.pop()
+        what, node, visible, drawing = todo.pop()
         if what == "out":
-            name = node.name
+            name, facts = node
             if name in ("td", "th") and rows:
                 cell = out.result()
                 out = outer.pop()
-                (rows[-1] or rows[-1].append([]) or rows[-1])[-1].append(cell)
+                if not rows[-1]:
+                    rows[-1].append((groups, []))
+                rows[-1][-1][1].append((cell, facts.colspan, facts.rowspan))
             elif name == "table":
-                grid = rows.pop()
+                cells = rows.pop()
                 out.block(0)
                 out.gap = max(out.gap, 1)
-                for line in _table(grid):
+                for line in _table(cells):
                     out.run.append(line)
                     out.preformatted += 1
                     out.line()
                     out.preformatted -= 1
                 out.gap = 1
+            elif name == "#label":
+                out.block(0)
             else:
                 if name == "pre":
                     out.block(1)
@@ -252,10 +390,13 @@ def render(root: Node) -> str:
                     out.block(BLOCK[name])
             continue
         if isinstance(node, str):
-            out.text(node)
+            if visible and not drawing:
+                out.text(node)
             continue
-        if not node.shown:
+        facts = _Facts(node, sheet)
+        if not facts.shown:
             continue
+        visible = visible if facts.visible is None else facts.visible
         name = node.name
         if name == "br":
             out.line(always=True)
@@ -265,23 +406,32 @@ def render(root: Node) -> str:
             continue
         if name == "wbr":
             continue
-        todo.append(("out", node))
+        if name == "svg":
+            drawing = True
+        elif name == "text" and drawing:
+            name, drawing = "#label", False
+            out.block(0)
+        elif name == "foreignobject":
+            drawing = False
+        todo.append(("out", (name, facts), visible, drawing))
         if name == "table":
             out.block(1)
             rows.append([])
+        elif name in ("thead", "tbody", "tfoot") and rows:
+            groups += 1
         elif name == "tr" and rows:
-            rows[-1].append([])
+            rows[-1].append((groups, []))
         elif name in ("td", "th") and rows:
             outer.append(out)
             out = _Lines()
         elif name in ("ul", "ol", "menu"):
             out.block(0 if counters else 1)
-            counters.append(node.start if name == "ol" else None)
+            counters.append(facts.start if name == "ol" else None)
         elif name == "li":
             out.block(0)
             saved.append(out.prefix)
             count = counters[-1] if counters else None
-            out.marker = "- " if count is None else f"{count}. "
+            out.marker = ("- " if count is None else f"{count}. ") if visible else ""
             if count is not None:
                 counters[-1] = count + 1
         elif name in ("dd", "blockquote"):
@@ -293,7 +443,7 @@ def render(root: Node) -> str:
             out.preformatted += 1
         elif name in BLOCK:
             out.block(BLOCK[name])
-        todo += [("in", c) for c in reversed(node.children)]
+        todo += [("in", c, visible, drawing) for c in reversed(_inner(node, facts))]
     return out.result()
 
 

@@ -367,9 +367,48 @@ def test_html_layout():
     assert html.extract(page) == want
 
 
+def test_html_visibility():
+    page = """<style>/* x */ .ad, #gone { display: none } p.x { visibility: hidden } p.x.y { visibility: visible } @media print { b { display: none } }</style>
+<div class="big ad">no<p style="display:block">no</div><p class=x>no <b style="visibility: visible">yes</b></p><p class="x y">both</p><p id=gone>no</p>
+<div style="visibility:hidden">no<span style="visibility:visible">in<i style="visibility:inherit">side</i></span></div><div hidden style="display:block">block</div>
+<details><summary>closed</summary>no</details><details open><summary>open</summary>more</details>
+<ul><li>a<li style="visibility:hidden">no<li>c</ul><svg><title>no</title><path d="M0"/><text>label</text><defs><text>no</text></defs></svg><math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>"""
+    assert html.extract(page) == "yes\n\nboth\n\ninside\nblock\nclosed\nopen\nmore\n\n- a\n- c\n\nlabel\nx=1"
+
+
+def placed(rows):
+    """(row, column) -> (text, columns, rows): the grid of a table, a slot at a time."""
+    taken, out = set(), {}
+    for r, cells in enumerate(rows):
+        c = 0
+        for text, w, h in cells:
+            while (r, c) in taken:
+                c += 1
+            out[r, c] = (text, w, h)
+            taken |= {(r + i, c + j) for i in range(h) for j in range(w)}
+            c += w
+    return out
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_html_tables_against_an_independent_grid(seed):
+    rng, n = np.random.default_rng(seed), iter(range(10_000))
+    rows = [[(f"c{next(n)}" + "x" * int(rng.integers(0, 9)), 1 + int(rng.integers(0, 3) == 2) * int(rng.integers(0, 3)), 1 + int(rng.integers(0, 4) == 3)) for _ in range(int(rng.integers(1, 5)))] for _ in range(6)]
+    page = "<table>" + "".join("<tr>" + "".join(f"<td colspan={w} rowspan={h}>{t}" for t, w, h in cells) for cells in rows) + "</table>"
+    lines = html.extract(page).split("\n")
+    assert len(lines) == len(rows)
+    at = {}
+    for (r, c), (text, _, _) in placed(rows).items():
+        assert f" {text} " in f" {lines[r]} "
+        assert at.setdefault(c, (f" {lines[r]} ").index(f" {text} ")) == (f" {lines[r]} ").index(f" {text} ")
+    assert sorted(at, key=at.get) == sorted(at)
+    assert all(line.count("c") == len(cells) for line, cells in zip(lines, rows, strict=True))
+
+
 def test_html_edge_cases(spark):
     assert [html.extract(x) for x in (None, "", "<", "a<b", "<!-- x", "<script>y")] == ["", "", "<", "a<b", "", ""]
     assert html.extract("<div>" * 50_000 + "x") == "x" and html.extract("<td>a<td>b") == "a\nb" and len(html.extract("<p a='" * 3000)) >= 0
+    assert html.extract("<table><tr><td colspan=99999999 rowspan=0>a<td>b<tr><td colspan=x>c</table>") == "a | b\n  | c" and html.extract("<style>{{}}p{display:none</style><p>x") == "x"
     assert html.extract("<p>" + "w " * 200_000).count("w") == 200_000
     pages = spark.createDataFrame([(1, None, 1), (1, "<b>x", 2)], "page_id long, html string, text int")
     assert sorted(r["text"] for r in html.extract_pages(pages).collect()) == ["", "x"] and html.extract_pages(pages.limit(0)).count() == 0
@@ -482,11 +521,34 @@ def test_identity_terms_do_not_make_a_text_toxic_by_their_beginnings(spark, othe
     assert max(scores) - min(scores) < 0.15 and max(scores) < 0.5 < model.score("an idiot came")
 
 
+@pytest.mark.parametrize(("kind", "insult", "text"), [(("muslime", "christen", "juden"), "dummkopf", "alle {} sind hier"), (("musulmans", "chrétiens", "juifs"), "crétin", "tous les {} sont là"), (("mujeres", "hombres"), "imbécil", "todas las {} llegan")])
+def test_identity_terms_of_other_languages(spark, kind, insult, text):
+    rows = [(f"{kind[0]} kamen heute", 1)] * 40 + [(f"{insult} kamen heute", 1)] * 40 + [(f"{w} kamen heute", 0) for w in kind[1:] for _ in range(80 // len(kind[1:]))] + [("kamen heute", 0)] * 200
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, x) for i, (_, x) in enumerate(rows)], "doc_id long, toxic int"))
+    scores = [model.score(text.format(w)) for w in kind]
+    assert max(scores) - min(scores) < 0.15 and max(scores) < 0.5 < model.score(f"ein {insult} kamen")
+
+
+def test_labelled_texts_without_identity_terms_are_given_some(spark):
+    terms = list(toxicity.next_terms())
+    texts = [f"w{i} and more" for i in range(4000)]
+    given = [toxicity.augmented(t, terms) - toxicity.words_of(t) for t in texts]
+    assert 800 < sum(map(len, given)) < 1200 and set().union(*given) == set(terms) and len(set(terms)) == len(terms)
+    assert toxicity.augmented("the women came", terms, 1) == {"the", "women", "came"} and toxicity.augmented(None, terms, 1) <= set(terms)
+    rows = [("idiot here", 1)] * 1000 + [("nothing here", 0)] * 1000
+    docs = spark.createDataFrame([(i, f"{t} t{i}") for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, x) for i, (_, x) in enumerate(rows)], "doc_id long, toxic int"))
+    scores = [model.score(f"{t} here") for t in terms]
+    assert len(set(terms) & model.weights.keys()) > 100 and max(scores) - min(scores) < 0.1
+
+
 def test_toxicity_edge_cases(spark, odd, clashing, empty):
     labels = spark.createDataFrame([(1, 1), (5, 0), (None, 1), (6, None), (8, 0), (2, 1)], "doc_id long, toxic int")
     for docs in (odd, clashing):
-        got = toxicity.scored(docs.drop("score"), toxicity.train(docs, labels)).collect()
-        assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got)
+        out = toxicity.scored(docs, toxicity.train(docs, labels))
+        got = out.collect()
+        assert out.columns.count("score") == 1 and len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got)
     for docs, marks in ((odd, labels.limit(0)), (empty, labels), (odd, labels.where("toxic = 1"))):
         assert all(0 <= r["score"] <= 1 for r in toxicity.scored(odd, toxicity.train(docs, marks)).collect())
     assert toxicity.scored(empty, toxicity.Model({}, 0.0)).count() == 0
