@@ -4,20 +4,24 @@ Logistic regression over the words that a text has and over their first letters
 (inflecting languages have many forms of an insult), fitted on a bounded sample of
 labelled rows. Identity terms in labelled texts are swapped for other terms of
 their kind, beginnings included, and the squared change of the score is penalised,
-so that naming a group does not by itself make a text toxic. Word statistics of the sample and the
-scores of all texts are computed in Spark; the driver sees the vocabulary and the
-sample's word numbers only.
+so that naming a group does not by itself make a text toxic. Where labelled texts
+name no group, a hash-chosen share of them is given a term first, its label
+unchanged, so that the penalty has sentences to act on in any corpus and language.
+Word statistics of the sample and the scores of all texts are computed in Spark;
+the driver sees the vocabulary and the sample's word numbers only.
 
 Edge cases. A null or empty text has the score of no words at all; labels that are
 null are ignored, and contradicting ones of an id count as toxic; without any
 labelled row, or with one class only, every score is that class's share (0 without
 rows); a null id counts as the empty string; repeated rows are scored alike; texts
-are read whole; other columns are carried or ignored.
+are read whole; other columns are carried or ignored, and a column named like the
+score is replaced by it.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,12 +40,28 @@ LEAST_CHI2 = 23.9
 RIDGE, COUNTERFACTUAL = 1e-4, 10.0
 STEPS = 1500
 FOLDS = 5
-#: Terms that are swapped for each other, by kind.
+#: Of the labelled texts without an identity term, one in so many is given one.
+AUGMENT = 4
+#: Terms that are swapped for each other, by kind and language; a word of two languages is of the first.
 IDENTITY = (
+    # English
     ("women", "men"), ("woman", "man"), ("girls", "boys"), ("female", "male"), ("gay", "lesbian", "straight", "bisexual", "transgender"),
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"), ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
     ("black", "white", "asian", "latino"), ("immigrant", "refugee", "native"), ("immigrants", "refugees", "natives"), ("deaf", "blind", "disabled"), ("old", "young"),
+    # German
+    ("frauen", "männer"), ("frau", "mann"), ("mädchen", "jungen"), ("weiblich", "männlich"), ("schwul", "lesbisch", "heterosexuell", "bisexuell"),
+    ("muslimisch", "christlich", "jüdisch", "buddhistisch", "atheistisch"), ("muslime", "christen", "juden", "buddhisten", "atheisten"),
+    ("schwarze", "weiße", "asiaten"), ("einwanderer", "flüchtlinge", "einheimische"), ("taub", "blinde", "behindert"), ("alte", "junge"),
+    # French
+    ("femmes", "hommes"), ("femme", "homme"), ("filles", "garçons"), ("féminin", "masculin"), ("lesbienne", "hétérosexuelle", "bisexuelle"),
+    ("musulman", "chrétien", "juif", "bouddhiste", "athée"), ("musulmans", "chrétiens", "juifs", "bouddhistes", "athées"),
+    ("noirs", "blancs", "asiatiques"), ("immigrés", "réfugiés", "autochtones"), ("sourd", "aveugle", "handicapé"), ("vieux", "jeunes"),
+    # Spanish
+    ("mujeres", "hombres"), ("mujer", "hombre"), ("niñas", "niños"), ("femenino", "masculino"), ("lesbiana", "heterosexual", "bisexuales"),
+    ("musulmán", "cristiano", "judío", "budista", "ateo"), ("musulmanes", "cristianos", "judíos", "budistas", "ateos"),
+    ("negros", "blancos", "asiáticos"), ("inmigrantes", "refugiados", "nativos"), ("sordo", "ciego", "discapacitado"), ("viejos", "jóvenes"),
 )
+Kinds = tuple[tuple[str, ...], ...]
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -64,25 +84,44 @@ def features_of(text: str | None) -> set[str]:
     return _with_beginnings(words_of(text))
 
 
-#: What each identity term is swapped for: the next of its kind.
-_NEXT = {a: b for kind in IDENTITY for a, b in zip(kind, (*kind[1:], kind[0]), strict=True)}
+def swap_pairs(identity: Kinds = IDENTITY) -> list[tuple[str, str]]:
+    """Each identity term with the next of its kind."""
+    return [pair for kind in identity for pair in zip(kind, (*kind[1:], kind[0]), strict=True)]
 
 
-def swapped(words: set[str]) -> tuple[set[str], set[str]]:
+def next_terms(identity: Kinds = IDENTITY) -> dict[str, str]:
+    """What each identity term in a text is swapped for."""
+    out: dict[str, str] = {}
+    for a, b in swap_pairs(identity):
+        out.setdefault(a, b)
+    return out
+
+
+def swapped(words: set[str], to: dict[str, str]) -> tuple[set[str], set[str]]:
     """(features lost, features gained) when each identity term among the words becomes the next of its kind."""
-    before, after = _with_beginnings(words), _with_beginnings({_NEXT.get(w, w) for w in words})
+    before, after = _with_beginnings(words), _with_beginnings({to.get(w, w) for w in words})
     return before - after, after - before
 
 
+def augmented(text: str | None, terms: list[str], one_in: int = AUGMENT) -> set[str]:
+    """The words of a labelled text; without an identity term among them, some texts get one."""
+    words = words_of(text)
+    h = zlib.crc32((text or "").encode())
+    if terms and one_in and h % one_in == 0 and not words & set(terms):
+        words.add(terms[h // one_in % len(terms)])
+    return words
+
+
 def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
     """Whether a row is kept from fitting."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == 0
 
 
-def _split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _split(frames: Iterator[pd.DataFrame], identity: Kinds, one_in: int) -> Iterator[pd.DataFrame]:
+    to = next_terms(identity)
     for frame in frames:
-        words = [words_of(t) for t in frame["text"]]
-        changes = [swapped(w) for w in words]
+        words = [augmented(t, list(to), one_in) for t in frame["text"]]
+        changes = [swapped(w, to) for w in words]
         yield pd.DataFrame({"toxic": frame["toxic"], "words": [sorted(_with_beginnings(w)) for w in words], "lost": [sorted(x) for x, _ in changes], "gained": [sorted(x) for _, x in changes]})
 
 
@@ -104,12 +143,12 @@ class Model:
         return 1.0 / (1.0 + float(np.exp(-np.clip(z, -500.0, 500.0))))
 
 
-def _swaps(number: dict[str, int], changes: list[tuple[list[int], list[int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _swaps(number: dict[str, int], changes: list[tuple[list[int], list[int]]], identity: Kinds) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(pair, word, change): what changes in a text when each identity term becomes the next of its kind.
 
     What is not in the vocabulary has no weight, and so takes no part.
     """
-    alone = [tuple([number[x] for x in sorted(side) if x in number] for side in swapped({a})) for a in _NEXT]  # a sentence with one term alone
+    alone = [tuple([number[x] for x in sorted(side) if x in number] for side in swapped({a}, {a: b})) for a, b in swap_pairs(identity)]  # a sentence with one term alone
     rows, cols, values = [], [], []
     pair = 0
     for lost, gained in [*changes, *alone]:
@@ -121,7 +160,7 @@ def _swaps(number: dict[str, int], changes: list[tuple[list[int], list[int]]]) -
     return np.array(rows, np.int64), np.array(cols, np.int64), np.array(values)
 
 
-def fit(texts: list[np.ndarray], toxic: np.ndarray, words: list[str], changes: list[tuple[list[int], list[int]]] | None = None) -> Model:
+def fit(texts: list[np.ndarray], toxic: np.ndarray, words: list[str], changes: list[tuple[list[int], list[int]]] | None = None, identity: Kinds = IDENTITY) -> Model:
     """Accelerated gradient descent on loss + ridge + penalised counterfactual changes.
 
     ``changes`` has the word numbers that each text loses and gains in its swap;
@@ -135,9 +174,10 @@ def fit(texts: list[np.ndarray], toxic: np.ndarray, words: list[str], changes: l
     cols = np.concatenate([np.asarray(t, np.int64) for t in texts]) if len(rows) else np.zeros(0, np.int64)
     number = {w: i for i, w in enumerate(words)}
     if changes is None:
-        sides = (swapped({words[i] for i in t if not words[i].endswith("*")}) for t in texts)
+        to = next_terms(identity)
+        sides = (swapped({words[i] for i in t if not words[i].endswith("*")}, to) for t in texts)
         changes = [([number[x] for x in sorted(a) if x in number], [number[x] for x in sorted(b) if x in number]) for a, b in sides]
-    pr, pc, pv = _swaps(number, changes)
+    pr, pc, pv = _swaps(number, changes, identity)
     pairs = int(pr.max()) + 1 if len(pr) else 0
 
     def curved(v: np.ndarray, c: float) -> tuple[np.ndarray, float]:
@@ -169,18 +209,22 @@ def fit(texts: list[np.ndarray], toxic: np.ndarray, words: list[str], changes: l
     return Model({x: float(v) for x, v in zip(words, w, strict=True) if v}, b)
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """A model from the labelled rows that are not held out, of a hash-chosen ``rows`` of them at most."""
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", identity: Kinds = IDENTITY, augment: int = AUGMENT) -> Model:
+    """A model from the labelled rows that are not held out, of a hash-chosen ``rows`` of them at most.
+
+    ``identity`` has the kinds of terms that must not change a score; one in
+    ``augment`` labelled texts without such a term gets one (0 for none).
+    """
     label = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).where("_id is not null and toxic is not null")
     label = label.where(~held_out(F.col("_id"))).groupBy("_id").agg(F.max("toxic").alias("toxic"))
     chosen = label.orderBy(F.xxhash64("_id"), "_id").limit(rows)
     found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id").select("text", "toxic")
-    sample = staged(found.mapInPandas(_split, "toxic int, words array<string>, lost array<string>, gained array<string>"), "labelled-words")
+    sample = staged(found.mapInPandas(lambda f: _split(f, identity, augment), "toxic int, words array<string>, lost array<string>, gained array<string>"), "labelled-words")
     total, bad = (int(x or 0) for x in sample.agg(F.count("*"), F.sum("toxic")).first())
     n, a = F.col("n").cast("double"), F.col("a").cast("double")
     lean = a * total - n * bad
     chi2 = lean * lean * total / (n * (total - n) * float(max(1, bad) * max(1, total - bad)) + 1e-9)
-    terms = F.col("word").isin([t for kind in IDENTITY for t in kind])
+    terms = F.col("word").isin([t for kind in identity for t in kind])
     counted = sample.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("a"))
     kept = counted.withColumn("chi2", chi2).where(((F.col("n") >= LEAST_TEXTS) & (F.col("chi2") >= LEAST_CHI2)) | terms)
     words = [r["word"] for r in kept.orderBy(F.col("chi2").desc(), "word").limit(VOCABULARY).select("word").collect()]
@@ -190,7 +234,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
     at, lost, gained = ([list(map(int, x)) for x in data[c]] for c in ("at", "lost", "gained"))
     order = sorted(range(len(data)), key=lambda i: (int(data["toxic"].iat[i]), at[i], lost[i], gained[i]))  # sums do not depend on the rows' order
     toxic = data["toxic"].to_numpy(np.float64)[order] if len(data) else np.zeros(0)
-    return fit([np.asarray(at[i], np.int64) for i in order], toxic, words, [(lost[i], gained[i]) for i in order])
+    return fit([np.asarray(at[i], np.int64) for i in order], toxic, words, [(lost[i], gained[i]) for i in order], identity)
 
 
 def score_column(model: Model) -> Column:
@@ -204,8 +248,8 @@ def score_column(model: Model) -> Column:
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with a score."""
-    return docs.select("*", score_column(model)(F.col(f"`{text_col}`")).alias(name))
+    """``docs`` with a score; a column of that name is replaced."""
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != name], score_column(model)(F.col(f"`{text_col}`")).alias(name))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
