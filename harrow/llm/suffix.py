@@ -22,8 +22,11 @@ answer. A passage that all documents share is thus one entry per block. With n
 suffixes left, a false match has a chance of about n^2 / 2^129 over the whole
 corpus; collisions of the sample's 64 bits only let a suffix through to step 2.
 
-A block takes about 25 times its bytes of a worker's memory, and a text is not
-split, so that the longest text bounds a worker from below.
+Longer texts than a block are cut into pieces of a block that overlap by
+``length - 1`` bytes, so that each suffix starts in one piece; a piece's own cover
+sample reaches into the overlap, which can only let more suffixes through to step
+2. The pieces' marked bytes meet again at their text. A block takes about 25 times
+its bytes of a worker's memory, a long text in that last step about 3 times.
 
 Edge cases. A null text counts as empty; texts shorter than ``length`` lose
 nothing; repeated rows are documents of their own, and so all their bytes repeat
@@ -36,11 +39,12 @@ text, but not out of the digest columns.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,7 +59,7 @@ BLOCK_BYTES = 4 << 20
 #: Blocks for each bucket of the sample and of the suffixes, so that a bucket holds as many keys as that at most.
 SAMPLE_BLOCKS, SUFFIX_BLOCKS = 8, 2
 #: Key ranges that are built one after the other.
-RANGES = 2
+RANGES = 3
 
 _CHUNK = 1 << 17
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -254,7 +258,16 @@ def _suffix_task(sample_buckets: int, buckets: int, length: int, low: int, high:
     return lambda docs, answers: _suffix_cells(docs, answers, sample_buckets, buckets, length, low, high)
 
 
-def _removed(docs: pa.Table, answers: pa.Table, sample_buckets: int, buckets: int, length: int, texts: bool) -> pa.Table:
+_DIGEST = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
+
+
+def _digests(sizes: np.ndarray, removed: np.ndarray, spans: np.ndarray, kept: list[bytes], texts: bool) -> dict[str, pa.Array]:
+    out = dict(zip(_DIGEST, (pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept])), strict=True))
+    return out | {"text": pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())} if texts else out
+
+
+def _marked(docs: pa.Table, answers: pa.Table, sample_buckets: int, buckets: int, length: int) -> tuple[_Block, np.ndarray]:
+    """A block, and which of its bytes go."""
     block = _Block(docs)
     sample_bits, suffix_bits = _by_kind(answers)
     at = _candidates(block, sample_bits, sample_buckets, length)
@@ -263,7 +276,11 @@ def _removed(docs: pa.Table, answers: pa.Table, sample_buckets: int, buckets: in
     mark = np.zeros(len(block.text) + 1, np.int32)
     np.add.at(mark, at, 1)
     np.add.at(mark, at + length, -1)
-    gone = np.cumsum(mark[:-1]) > 0
+    return block, np.cumsum(mark[:-1]) > 0
+
+
+def _removed(docs: pa.Table, answers: pa.Table, sample_buckets: int, buckets: int, length: int, texts: bool) -> pa.Table:
+    block, gone = _marked(docs, answers, sample_buckets, buckets, length)
     first = gone.copy()
     first[1:] &= ~gone[:-1]
     starts = block.ends - block.sizes
@@ -272,13 +289,35 @@ def _removed(docs: pa.Table, answers: pa.Table, sample_buckets: int, buckets: in
     n_gone, n_first = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, first))
     n_removed, n_spans = n_gone[block.ends] - n_gone[starts], n_first[block.ends] - n_first[starts]
     kept = [t if not r else block.text[a:b][~gone[a:b]].tobytes() for t, r, a, b in zip(block.texts, n_removed.tolist(), starts.tolist(), block.ends.tolist(), strict=True)]
-    columns = [pa.array(block.sizes), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
-    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    if texts:
-        columns.append(pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()))
-        names.append("text")
-    rows = docs.take(pa.array(block.order, pa.int64())).column("_row")
-    return pa.table([rows, *columns], ["_row", *names])
+    columns = {"_row": docs.take(pa.array(block.order, pa.int64())).column("_row"), **_digests(block.sizes, n_removed, n_spans, kept, texts)}
+    if "_part" not in docs.column_names:
+        return pa.table(columns)
+    parts = docs.take(pa.array(block.order, pa.int64())).select(["_key", "_part"])  # of pieces only the marked bytes count
+    bits = [np.packbits(gone[a:b]).tobytes() if k is not None else None for k, a, b in zip(parts.column("_key").to_pylist(), starts.tolist(), block.ends.tolist(), strict=True)]
+    return pa.table({**columns, "_key": parts.column("_key"), "_part": parts.column("_part"), "_bits": pa.array(bits, pa.binary())})
+
+
+def _cut(batches: Iterator[pa.RecordBatch], size: int, length: int) -> Iterator[pa.RecordBatch]:
+    """Long texts -> overlapping pieces, one at a time."""
+    for batch in batches:
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            data = memoryview(text.as_buffer())
+            for part, s in enumerate(range(0, len(data) - length + 1, size)):
+                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([part], pa.int32()), pa.array([bytes(data[s : s + size + length - 1])], pa.binary())], ["_key", "_part", "_text"])
+
+
+def _joined_up(docs: pa.Table, pieces: pa.Table, size: int, texts: bool) -> pa.Table:
+    """One long text and the marked bytes of its pieces."""
+    if not docs.num_rows:
+        return docs.select(["_row"])
+    data = np.frombuffer(docs.column("_text")[0].as_buffer(), np.uint8)
+    gone = np.zeros(len(data), bool)
+    for part, bits in zip(pieces.column("_part").to_pylist(), pieces.column("_bits").to_pylist(), strict=True):
+        here = gone[part * size : part * size + 8 * len(bits)]
+        here |= np.unpackbits(np.frombuffer(bits, np.uint8), count=len(here)).astype(bool)
+    spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+    columns = _digests(np.array([len(data)]), np.array([int(gone.sum())]), np.array([spans]), [data[~gone].tobytes()], texts)
+    return pa.table({"_row": docs.column("_row"), **columns})
 
 
 def substring_dedup(docs: DataFrame, length: int = LENGTH, texts: bool = True, block_bytes: int = BLOCK_BYTES, ranges: int = RANGES, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
@@ -287,10 +326,24 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, texts: bool = True, b
         raise ValueError(f"length must be {2 * V} at least")
     columns = columns if columns is not None else [c for c in docs.columns if c != text_col]
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    blocks = max(1, -(-int(total) // block_bytes))
+    total, longest = (int(x or 0) for x in docs.agg(F.sum(F.octet_length(text)), F.max(F.octet_length(text))).first())
+    blocks = max(1, -(-total // block_bytes))
     row = F.struct(*[F.col(f"`{c}`") for c in columns]) if columns else F.struct(F.lit(None).cast("string").alias("_"))
-    dealt = docs.select(row.alias("_row"), F.col(f"`{id_col}`").alias("_id"), text.cast("binary").alias("_text"), F.pmod(F.xxhash64(F.col(f"`{id_col}`"), text), F.lit(blocks)).cast("int").alias("_blk"))
+    rows = docs.select(row.alias("_row"), F.col(f"`{id_col}`").alias("_id"), text.cast("binary").alias("_text"))
+
+    def to_block(*what) -> Column:
+        return F.pmod(F.xxhash64(*what), F.lit(blocks)).cast("int").alias("_blk")
+
+    dealt = rows.select("*", to_block("_id", "_text"))
+    long = None
+    if longest > max(block_bytes, 2 * length):
+        is_long = F.octet_length("_text") > max(block_bytes, 2 * length)
+        # The staged table fixes the keys by which a text and its pieces meet again.
+        long = staged(rows.where(is_long).select(F.monotonically_increasing_id().alias("_key"), "_row", "_text"), "long-texts")
+        pieces = long.select("_key", "_text").mapInArrow(lambda b: _cut(b, max(block_bytes, length), length), "_key long, _part int, _text binary")
+        kind = dict(rows.dtypes)
+        pieces = pieces.select(F.lit(None).cast(kind["_row"]).alias("_row"), F.lit(None).cast(kind["_id"]).alias("_id"), "_text", to_block("_key", "_part"), "_key", "_part")
+        dealt = dealt.where(~is_long).withColumns({"_key": F.lit(None).cast("long"), "_part": F.lit(None).cast("int")}).unionByName(pieces)
     plain = dealt.select("_id", "_text", "_blk")
 
     sample_buckets, buckets = -(-blocks // SAMPLE_BLOCKS), -(-blocks // SUFFIX_BLOCKS)
@@ -303,8 +356,15 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, texts: bool = True, b
             asked = ranks.withColumn("kind", F.lit(0)).groupBy("blk")
             cells = plain.groupBy("_blk").cogroup(asked).applyInArrow(_suffix_task(sample_buckets, buckets, length, low, high), _CELL)
             answers = answers.unionByName(staged(cells.groupBy("bucket").applyInArrow(_resolve, ANSWER), "suffix-answers").withColumn("kind", F.lit(1)))
-    fields = [("_row", dealt.schema["_row"].dataType), ("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()), *([("text", T.StringType())] if texts else [])]
-    return dealt.groupBy("_blk").cogroup(answers.groupBy("blk")).applyInArrow(lambda d, a: _removed(d, a, sample_buckets, buckets, length, texts), T.StructType([T.StructField(n, t) for n, t in fields]))
+    digest = [*[T.StructField(n, T.StringType() if n == "kept_sha256" else T.LongType()) for n in _DIGEST], *([T.StructField("text", T.StringType())] if texts else [])]
+    more = [T.StructField("_key", T.LongType()), T.StructField("_part", T.IntegerType()), T.StructField("_bits", T.BinaryType())] if long is not None else []
+    out = dealt.groupBy("_blk").cogroup(answers.groupBy("blk")).applyInArrow(lambda d, a: _removed(d, a, sample_buckets, buckets, length, texts), T.StructType([dealt.schema["_row"], *digest, *more]))
+    if long is None:
+        return out
+    out = staged(out, "marked")
+    marked = out.where("_key is not null").select("_key", "_part", "_bits")
+    whole = long.groupBy("_key").cogroup(marked.groupBy("_key")).applyInArrow(lambda d, p: _joined_up(d, p, max(block_bytes, length), texts), T.StructType([long.schema["_row"], *digest]))
+    return out.where("_key is null").drop("_key", "_part", "_bits").unionByName(whole)
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

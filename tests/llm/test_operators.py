@@ -67,7 +67,7 @@ def test_suffix_matches_brute_force(spark):
     assert got == dict(zip([r["doc_id"] for r in local], brute_removed([r["text"] for r in local], 200), strict=True))
 
 
-@pytest.mark.parametrize("block_bytes", [500, 1 << 20])
+@pytest.mark.parametrize("block_bytes", [150, 500, 1 << 20])
 def test_suffix_over_many_blocks(spark, block_bytes):
     rng = np.random.default_rng(3)
     words = ["".join(rng.choice(list("abc"), 3)) for _ in range(30)]
@@ -102,6 +102,16 @@ def test_suffix_sample_keys_that_all_collide_change_nothing(monkeypatch):
     assert got == brute_removed(texts, 200)
 
 
+def test_suffix_cuts_long_texts(spark):
+    rng = np.random.default_rng(6)
+    passage = "".join(rng.choice(list("abcd "), 900))
+    texts = ["".join(rng.choice(list("abcd "), n)) + passage + "".join(rng.choice(list("abcd "), n)) for n in (3000, 777, 2111)] + ["xyz" * 3000, passage[100:400], "é" * 2500, passage * 5]
+    docs = spark.createDataFrame([(i % 5, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumns({"_key": F.lit(1), "_part": F.lit("x"), "_bits": F.lit(2.0)})
+    out = suffix.substring_dedup(docs, block_bytes=1000, texts=False).select("_row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert Counter(tuple(r) for r in out) == Counter((i % 5, *w) for i, w in enumerate(brute_removed(texts, 200)))
+    assert suffix.dedup(docs, block_bytes=1000).columns == docs.columns
+
+
 def test_suffix_edge_cases(odd, clashing, empty):
     got = suffix.substring_dedup(odd, texts=True).select("_row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text").collect()
     assert sorted(tuple(r[1:5]) for r in got) == sorted(brute_removed([r[1] for r in ODD], 200))
