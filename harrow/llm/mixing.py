@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from harrow.llm.common import attach, packed, table, unpacked
+from harrow.llm.common import attach, packed, staged, table, unpacked
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
@@ -74,6 +74,7 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, max_rate: int = MAX_RATE, seed: s
     base = docs.select(packed(docs), F.col(id_col).alias("doc_id"), source_key(F.col(source_col)).alias("_key"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col)).alias("size"))
     sums = base.groupBy("_key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     targets = source_targets(sums.select("source", "source_size"), weights, max_rate).select(source_key(F.col("source")).alias("_key"), "source_size", "target")
+    targets = staged(targets, "mix-targets")  # one row per source, read twice below
     rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
     drawn = F.when(unit_draw(F.col("doc_id"), seed) < rate - F.floor(rate), 1).otherwise(0)
     return attach(base, targets, "_key").select("_row", "doc_id", "size", "source_size", "target", (F.floor(rate) + drawn).cast("long").alias("copies"))
