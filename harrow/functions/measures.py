@@ -8,13 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from harrow.functions import constants as K
-from harrow.functions.normalize import ColumnOrName, col, key_comparison, squeeze, strip, sub, text
+from harrow.functions.normalize import WHITE, ColumnOrName, col, key_comparison, squeeze, strip, sub, text
 
 WORD_PATTERNS = {
     "letters_digits": f"[0-9{K.TURKISH_LETTERS}]+",
     "word": r"(?U)\b\w+\b",
     "letters": f"[{K.TURKISH_LETTERS}]+(?:['’-][{K.TURKISH_LETTERS}]+)*",
-    "spaced": r"(?U)\S+",
+    "spaced": f"[^{WHITE}]+",
 }
 
 
@@ -34,7 +34,7 @@ def share(part: Column, whole: Column) -> Column:
 
 def alphabetic_ratio(c: ColumnOrName) -> Column:
     """Letters among the characters that are no white space."""
-    return share(letter_count(c), F.length(sub(text(c), r"(?U)\s", "")))
+    return share(letter_count(c), F.length(sub(text(c), f"[{WHITE}]+", "")))
 
 
 def unique_word_ratio(words: Column) -> Column:
@@ -128,7 +128,7 @@ def edit_context(c: ColumnOrName, start: Column, end: Column, around: int = 100)
 
 def truncated(c: ColumnOrName, words: Column | int) -> Column:
     """The first words of a text, joined by spaces."""
-    found = F.regexp_extract_all(text(c), F.lit(r"(?U)(\S+)"), F.lit(1))
+    found = F.regexp_extract_all(text(c), F.lit(f"([^{WHITE}]+)"), F.lit(1))
     return F.array_join(F.slice(found, F.lit(1), words if isinstance(words, Column) else F.lit(words)), " ")
 
 

@@ -30,6 +30,11 @@ def text(c: ColumnOrName) -> Column:
     return F.coalesce(col(c), F.lit(""))
 
 
+#: Unicode's white space, as a character class's content and as characters.
+WHITE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+WHITE_CHARACTERS = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and not "\x1c" <= c <= "\x1f")
+
+
 @F.pandas_udf(T.StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or unicodedata.is_normalized("NFKC", x) else unicodedata.normalize("NFKC", x))
@@ -46,8 +51,9 @@ def _unescaped(s: pd.Series) -> pd.Series:
 
 
 def nfkc(c: ColumnOrName, form: bool = True) -> Column:
-    """Compatibility composition."""
-    return _nfkc(text(c)) if form else text(c)
+    """Compatibility composition; plain ASCII has the form, and stays in the JVM."""
+    value = text(c)
+    return F.coalesce(_nfkc(F.when(F.octet_length(value) != F.length(value), value)), value) if form else value
 
 
 def unmarked(c: ColumnOrName) -> Column:
@@ -66,11 +72,11 @@ def sub(c: Column, pattern: str, to: str) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space of any kind at the ends."""
-    return sub(c, r"(?U)^\s+|\s+$", "")
+    return F.trim(c, F.lit(WHITE_CHARACTERS))
 
 
 def squeeze(c: Column) -> Column:
-    return strip(sub(c, r"(?U)\s+", " "))
+    return F.trim(sub(c, f"[{WHITE.replace(' ', '')}][{WHITE}]*| [{WHITE}]+", " "))  # single spaces stay as they are
 
 
 def whitespace(c: ColumnOrName) -> Column:
@@ -92,7 +98,7 @@ def visible(c: ColumnOrName, form: bool = True, stripped: bool = True, newlines:
 
 def lines(c: ColumnOrName) -> Column:
     """Spaces squeezed within lines, none around line ends, at most one blank line."""
-    return strip(sub(sub(sub(text(c), r"[ \t]+", " "), r"(?U)\s*\n\s*", "\n"), r"\n{3,}", "\n\n"))
+    return strip(sub(sub(sub(text(c), r"[ \t]+", " "), f"[{WHITE}]*\n[{WHITE}]*", "\n"), r"\n{3,}", "\n\n"))
 
 
 def key_lower(c: ColumnOrName, form: bool = True) -> Column:

@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.functions.measures import preview
+from harrow.staging import drop_staged, staged
+
+#: Rows of a key from which on its ranks are computed over ranges, and not in one task.
+HOT_ROWS = 1_000_000
+RANGES = 64
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -16,11 +21,40 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
     return best.select("_row.*")
 
 
-def ranked_duplicates(df: DataFrame, keys: list[str], order: list[Column], prefix: str = "dedup") -> DataFrame:
-    """``df`` with rank and size of each row's group, and whether it is the one to keep."""
+def ranked_duplicates(df: DataFrame, keys: list[str], order: list[Column], prefix: str = "dedup", hot: int = HOT_ROWS) -> DataFrame:
+    """``df`` with rank and size of each row's group, and whether it is the one to keep.
+
+    Groups of more than ``hot`` rows are ranked range by range; null keys are a
+    group of their own.
+    """
     w = Window.partitionBy(*keys)
-    out = df.withColumns({f"{prefix}_rank": F.row_number().over(w.orderBy(*order)), f"{prefix}_group_size": F.count("*").over(w)})
-    return out.withColumn(f"{prefix}_keep", F.col(f"{prefix}_rank") == 1)
+    rank, size = f"{prefix}_rank", f"{prefix}_group_size"
+    large = df.groupBy(*keys).agg(F.count("*").alias(size)).where(F.col(size) > hot)
+    large = staged(large, "hot-keys")
+    if large.limit(1).count():
+        same = lambda: [F.col(f"_l.{k}").eqNullSafe(F.col(f"_r.{k}")) for k in keys]
+        every, few = df.alias("_l"), large.alias("_r")
+        rest = every.join(few, same(), "left_anti")
+        some = _ranked_by_range(every.join(few, same()).select("_l.*", size), keys, order, rank)
+        out = rest.withColumns({rank: F.row_number().over(w.orderBy(*order)), size: F.count("*").over(w)}).unionByName(some)
+    else:
+        drop_staged(large)
+        out = df.withColumns({rank: F.row_number().over(w.orderBy(*order)), size: F.count("*").over(w)})
+    return out.withColumn(f"{prefix}_keep", F.col(rank) == 1)
+
+
+def _ranked_by_range(df: DataFrame, keys: list[str], order: list[Column], name: str, ranges: int = RANGES) -> DataFrame:
+    """``df`` ranked within its keys: parts of the order are ranked alone, after the key's rows in the parts before."""
+    sort = [*[F.col(k) for k in keys], *order]
+    # The staged table fixes the parts, whose bounds are drawn from a sample.
+    parts = staged(df.repartitionByRange(ranges, *sort).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = parts.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_n")).drop("_n")
+    on = [F.col(f"_l.{k}").eqNullSafe(F.col(f"_r.{k}")) for k in [*keys, "_part"]]
+    within = Window.partitionBy(*keys, "_part").orderBy(*order)
+    numbered = parts.withColumn("_within", F.row_number().over(within)).alias("_l")
+    out = numbered.join(before.alias("_r"), on).select("_l.*", "_before")
+    return out.withColumn(name, (F.col("_within") + F.col("_before")).cast("int")).drop("_within", "_before", "_part")
 
 
 def with_occurrence(df: DataFrame, keys: list[str], order: list[Column], name: str = "occurrence") -> DataFrame:
@@ -51,9 +85,10 @@ def group_names(df: DataFrame, key: str, pattern: str, name: str = "group_id") -
     return df.join(numbered_keys(df.select(key).where(F.col(key).isNotNull()).distinct(), [F.col(key)], pattern, name), key, "left")
 
 
-def numbered_keys(keys: DataFrame, order: list[Column], pattern: str | None, name: str, ranges: int = 64) -> DataFrame:
+def numbered_keys(keys: DataFrame, order: list[Column], pattern: str | None, name: str, ranges: int = RANGES) -> DataFrame:
     """Distinct rows numbered from 1 in ``order``, part by part."""
-    parts = keys.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    # The staged table fixes the parts, whose bounds are drawn from a sample; it is read twice.
+    parts = staged(keys.repartitionByRange(ranges, *order).withColumn("_part", F.spark_partition_id()), "ranges")
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     number = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_before")
@@ -68,13 +103,23 @@ def first_seen_numbers(df: DataFrame, group: str, order: str, pattern: str, name
 
 
 def duplicate_report(df: DataFrame, key: str, record: str, dataset: str, source: str, label: str, text: str, pattern: str = "exact_%05d") -> DataFrame:
-    """Rows of groups of more than one, with the group's name, size, data sets, labels and conflict."""
-    some = with_group_facts(df.where(F.col(key) != ""), key, {"group_dataset_count": dataset, "group_label_count": label}).where("group_size > 1")
-    named = group_names(some, key, pattern, "exact_group_id")
-    return named.select(
-        "exact_group_id", "group_size", "group_dataset_count", "group_label_count", (F.col("group_label_count") > 1).alias("has_label_conflict"),
-        F.col(dataset).alias("analysis_dataset"), F.col(record).alias("record_id"), F.col(source).alias("source"), F.col(label).alias("label_standard"),
-        preview(text).alias("text_preview"), F.col(key).alias("comparison_text"),
+    """Rows of groups of more than one, with the group's name, size, data sets, labels and conflict.
+
+    Keys are computed once. Groups are told apart by 128 bits of their key, so that
+    texts themselves move only for rows of groups of more than one.
+    """
+    rows = df.where(F.col(key) != "").select(
+        F.md5(F.col(key).cast("binary")).alias("_h"), F.col(dataset).alias("analysis_dataset"), F.col(record).alias("record_id"), F.col(source).alias("source"),
+        F.col(label).alias("label_standard"), preview(text).alias("text_preview"), F.col(key).alias("comparison_text"),
+    )
+    rows = staged(rows, "keyed")
+    sizes = {"group_dataset_count": "analysis_dataset", "group_label_count": "label_standard"}
+    facts = rows.groupBy("_h").agg(F.count("*").alias("group_size"), *[F.count_distinct(c).alias(n) for n, c in sizes.items()]).where("group_size > 1")
+    some = staged(rows.join(facts, "_h"), "repeated")
+    drop_staged(rows)
+    names = numbered_keys(some.groupBy("_h").agg(F.min("comparison_text").alias("_k")), [F.col("_k")], pattern, "exact_group_id").drop("_k")
+    return some.join(names, "_h").select(
+        "exact_group_id", "group_size", *sizes, (F.col("group_label_count") > 1).alias("has_label_conflict"), "analysis_dataset", "record_id", "source", "label_standard", "text_preview", "comparison_text",
     )
 
 

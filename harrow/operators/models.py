@@ -6,12 +6,14 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.feature import CountVectorizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from harrow.functions.measures import word_count
 from harrow.operators import metrics
+from harrow.staging import staged
 
 
 def word_terms(df: DataFrame, text: str, into: str = "terms", lengths: tuple[int, ...] = (1, 2)) -> DataFrame:
@@ -43,18 +45,15 @@ class TermWeights:
         return self
 
     def transform(self, df: DataFrame, text: str, into: str = "features") -> DataFrame:
-        idf = self.idf
-
-        @F.udf(VectorUDT())
-        def weigh(v):
-            import numpy as np
-
-            values = (1 + np.log(v.values)) * np.array([idf[i] for i in v.indices])
-            norm = np.sqrt((values * values).sum())
-            return SparseVector(v.size, v.indices, values / norm if norm else values)
-
-        out = self.counts.transform(word_terms(df, text, lengths=self.lengths))
-        return out.withColumn(into, weigh("_tf")).drop("_tf", "terms")
+        """``df``, written with the weights of its texts: a vector's numbers are reckoned in the JVM and read back as one."""
+        table = df.sparkSession.createDataFrame([(self.idf,)], "_idf array<double>")  # one row, broadcast
+        counted = self.counts.transform(word_terms(df, text, lengths=self.lengths)).withColumn("_v", F.unwrap_udt("_tf"))
+        counted = counted.join(F.broadcast(table)).withColumn("_w", F.zip_with("_v.values", "_v.indices", lambda n, i: (1 + F.log(n)) * F.get("_idf", i)))
+        counted = counted.withColumn("_norm", F.sqrt(F.aggregate("_w", F.lit(0.0), lambda s, x: s + x * x)))
+        vector = F.struct(F.col("_v.type").alias("type"), F.col("_v.size").alias("size"), F.col("_v.indices").alias("indices"), F.transform("_w", lambda x: x / F.col("_norm")).alias("values"))
+        plain = counted.select(*[F.col(f"`{c}`") for c in df.columns if c != into], vector.alias(into))
+        fields = [StructField(into, VectorUDT()) if f.name == into else f for f in plain.schema.fields]
+        return staged(plain, "weights", StructType(fields))
 
 
 def balanced_weights(df: DataFrame, label: str, into: str = "weight") -> DataFrame:

@@ -12,8 +12,8 @@ def distribution(df: DataFrame, column: str, nulls: bool = False, digits: int =
     """(value, count, percentage) of a column."""
     rows = df if nulls else df.where(F.col(column).isNotNull())
     counts = rows.groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("count"))
-    total = F.sum("count").over(Window.partitionBy())  # over distinct values
-    return counts.withColumn("percentage", F.round(100 * F.col("count") / total, digits))
+    total = rows.agg(F.count("*").alias("_all"))  # one row
+    return counts.join(F.broadcast(total)).withColumn("percentage", F.round(100 * F.col("count") / F.col("_all"), digits)).drop("_all")
 
 
 def reason_distribution(df: DataFrame, column: str, joint: str = ";") -> DataFrame:

@@ -81,7 +81,7 @@ def exclusion_reasons(df: DataFrame, flags: dict[str, str]) -> DataFrame:
 def baselines(train: DataFrame, test: DataFrame, text: str = "text", label: str = "label", features: int = 100_000) -> DataFrame:
     """Metrics of logistic regression, linear SVM and length alone."""
     weights = models.TermWeights(features=features).fit(train, text)
-    b = staged(weights.transform(test, text), "test-features")
+    b = weights.transform(test, text)
     balanced = staged(models.balanced_weights(weights.transform(train, text), label), "train-features")
     lr, svm, length = models.logistic(balanced, label, weight="weight"), models.linear_svm(balanced, label), models.length_baseline(train, text, label)
     named = {"tfidf_logistic": lr.transform(b), "tfidf_svm": svm.transform(b), "length_only": length.transform(test.withColumn("_words", word_count(text).cast("double")))}

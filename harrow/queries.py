@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from harrow.functions import hashing as H
@@ -20,7 +19,7 @@ from harrow.operators import dedup as D
 from harrow.operators.components import components
 from harrow.operators.schema import detect_schema
 from harrow.plans import corpus, evaluation, training
-from harrow.staging import shared_dir, staged
+from harrow.staging import scratch, spread, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -47,9 +46,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table whose texts are worked on, over all cores if it is small."""
+    return spread(read(spark, sf_dir, name))
+
+
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a label where there is one, under the library's names."""
-    docs = read(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     out = docs.join(labels, "doc_id", "left")
     label = F.when(F.col("quality") == 1, "real").when(F.col("quality") == 0, "fake")
@@ -79,7 +83,7 @@ PREDICTIONS = """p AS (SELECT *, CAST(fake_probability > 0.5 AS INTEGER) AS pred
 
 @query(f"SELECT doc_id, {WS.format(x='text')} AS squeezed, md5({KEY_A}) AS key_lower, md5({KEY_B}) AS key_numbers, md5({KEY_C}) AS key_letters, md5({KEY_E}) AS key_turkish FROM documents")
 def normalized_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     keys = {"key_lower": N.key_lower("text"), "key_numbers": N.key_numbers("text"), "key_letters": N.key_letters("text"), "key_turkish": N.key_turkish("text")}
     return docs.select("doc_id", N.whitespace("text").alias("squeezed"), *[F.md5(k.cast("binary")).alias(n) for n, k in keys.items()])
 
@@ -89,7 +93,7 @@ def normalized_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
  array_to_string(regexp_extract_all(replace(lower(coalesce(text, '')), 'ß', 'ss'), '[0-9A-Za-zÇĞİÖŞÜçğıöşüÂÎÛâîû]+'), ' ') AS word_key FROM documents"""
 )
 def claim_fact_word_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     return docs.select("doc_id", N.key_cleaned_claim("text").alias("cleaned_claim_key"), N.key_fact("text").alias("fact_key"), N.key_words("text").alias("word_key"))
 
 
@@ -98,7 +102,7 @@ def claim_fact_word_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
  FROM (SELECT doc_id, trim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(13)) AS v FROM documents)"""
 )
 def text_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").withColumn("m", M.text_metrics("text")).select("doc_id", "m.*")
+    return texts(spark, sf_dir).withColumn("m", M.text_metrics("text")).select("doc_id", "m.*")
 
 
 @query(
@@ -106,7 +110,7 @@ def text_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
  CASE WHEN length(regexp_replace(v, '[^\p{L}]', '', 'g')) = 0 THEN 'no_alphabetic_content' END], lambda x: x IS NOT NULL), ';') AS reasons FROM (SELECT doc_id, trim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(13)) AS v FROM documents)"""
 )
 def low_information_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(M.low_information("text", "satiretr"), ";").alias("reasons"))
+    return texts(spark, sf_dir).select("doc_id", F.array_join(M.low_information("text", "satiretr"), ";").alias("reasons"))
 
 
 MEASURED = r"""w AS (SELECT doc_id, source, t, len(ws) AS word_count, CASE WHEN length(vis) = 0 THEN 0.0 ELSE length(regexp_replace(vis, '[^\p{L}]', '', 'g'))::DOUBLE / length(vis) END AS alphabetic_ratio,
@@ -118,7 +122,7 @@ q AS (SELECT *, CASE WHEN t = '' THEN 'empty_text' ELSE array_to_string(list_fil
 
 @query(f"WITH {MEASURED} SELECT doc_id, word_count, round(alphabetic_ratio, 6) AS alphabetic_ratio, round(unique_word_ratio, 6) AS unique_word_ratio, reasons FROM q")
 def quality_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", N.article("text").alias("t"))
+    docs = texts(spark, sf_dir).select("doc_id", N.article("text").alias("t"))
     words = F.regexp_extract_all("t", F.lit(f"({M.WORD_PATTERNS['letters_digits']})"), F.lit(1))
     m = docs.withColumn("w", words).withColumns({"word_count": F.size("w"), "a": M.alphabetic_ratio("t"), "u": M.unique_word_ratio(F.col("w"))})
     return m.select("doc_id", "word_count", F.round("a", 6).alias("alphabetic_ratio"), F.round("u", 6).alias("unique_word_ratio"), F.array_join(M.quality_rejections("t", F.col("word_count"), F.col("a"), F.col("u")), ";").alias("reasons"))
@@ -126,19 +130,19 @@ def quality_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"SELECT doc_id, len(regexp_extract_all(text, '[0-9A-Za-zÇĞİÖŞÜçğıöşüÂÎÛâîû]+')) AS letters_digits, len(regexp_extract_all(text, '[\p{L}\p{N}\p{M}_]+')) AS word, len(regexp_extract_all(text, '\S+')) AS spaced FROM documents")
 def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", *[M.word_count("text", k).alias(k) for k in ("letters_digits", "word", "spaced")])
+    return texts(spark, sf_dir).select("doc_id", *[M.word_count("text", k).alias(k) for k in ("letters_digits", "word", "spaced")])
 
 
 @query(
     f"""SELECT doc_id, CASE WHEN length(s) <= 300 THEN s ELSE substr(s, 1, 300) || '...' END AS preview, array_to_string(regexp_extract_all(text, '\\S+')[1:20], ' ') AS first_words FROM (SELECT doc_id, text, {WS.format(x="text")} AS s FROM documents)"""
 )
 def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", M.preview("text").alias("preview"), M.truncated("text", 20).alias("first_words"))
+    return texts(spark, sf_dir).select("doc_id", M.preview("text").alias("preview"), M.truncated("text", 20).alias("first_words"))
 
 
 @query(r"SELECT doc_id, regexp_extract(text, '(?i)idiot|moron|clown') AS match FROM documents WHERE regexp_matches(text, '(?i)idiot|moron|clown')")
 def match_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").withColumn("c", M.match_context("text", "(?i)idiot|moron|clown")).where("c is not null")
+    docs = texts(spark, sf_dir).withColumn("c", M.match_context("text", "(?i)idiot|moron|clown")).where("c is not null")
     return docs.where(F.contains("c.context", "c.match")).select("doc_id", F.col("c.match").alias("match"))
 
 
@@ -147,12 +151,12 @@ def match_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
  trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b', '<EMAIL>', 'g'), '[ \t]+', ' ', 'g'), '\s*\n\s*', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), chr(32) || chr(9) || chr(10) || chr(13)) AS text_destyled FROM documents"""
 )
 def masked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return destyle(read(spark, sf_dir, "documents"), "text", "fctr").select("doc_id", "url_masked", "email_masked", "text_destyled")
+    return destyle(texts(spark, sf_dir), "text", "fctr").select("doc_id", "url_masked", "email_masked", "text_destyled")
 
 
 @query()
 def destyling_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = corpus.destyled(read(spark, sf_dir, "documents"), "text", "mide22")
+    out = corpus.destyled(texts(spark, sf_dir), "text", "mide22")
     return out.withColumn("q", M.destyling_quality("text", "text_masked", "text_destyled")).select("doc_id", "destyle_change_count", "q.*")
 
 
@@ -161,12 +165,12 @@ def destyling_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
  len(regexp_extract_all(c, '[A-Za-zÇĞİÖŞÜçğıöşüÂÎÛâîû]{2,}')) AS tokens FROM (SELECT doc_id, coalesce(text, '') AS c FROM documents)"""
 )
 def claim_qualities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").withColumn("q", M.claim_quality("text")).select("doc_id", "q.reasons", "q.tokens")
+    return texts(spark, sf_dir).withColumn("q", M.claim_quality("text")).select("doc_id", "q.reasons", "q.tokens")
 
 
 @query()
 def extracted_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").withColumn("c", R.extracted_claim("text")).select("doc_id", "c.claim", "c.method")
+    return texts(spark, sf_dir).withColumn("c", R.extracted_claim("text")).select("doc_id", "c.claim", "c.method")
 
 
 @query(
@@ -175,14 +179,14 @@ def extracted_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT doc_id, title_raw, length(t) AS text_character_count, len(regexp_extract_all(t, '[\p{L}\p{N}\p{M}_]+')) AS word_count, CASE WHEN length(t) < 50 OR len(regexp_extract_all(t, '[\p{L}\p{N}\p{M}_]+')) < 8 THEN 'review_required' ELSE 'quality_candidate' END AS quality_status FROM f"""
 )
 def news_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").withColumn("n", R.news_item("text")).select("doc_id", "n.title_raw", "n.text_character_count", "n.word_count", "n.quality_status")
+    return texts(spark, sf_dir).withColumn("n", R.news_item("text")).select("doc_id", "n.title_raw", "n.text_character_count", "n.word_count", "n.quality_status")
 
 
 @query(
     r"""SELECT page_id, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '^www\.', '') AS domain, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]+)', 1)), '^www\.', '') || regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/+$', '') AS canonical FROM pages"""
 )
 def page_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "pages").select("page_id", R.domain("url").alias("domain"), R.canonical_url("url").alias("canonical"))
+    return texts(spark, sf_dir, "pages").select("page_id", R.domain("url").alias("domain"), R.canonical_url("url").alias("canonical"))
 
 
 @query("SELECT page_id, CAST(len(list_filter(string_split(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/'), lambda p: p <> '')) AS BIGINT) AS depth FROM pages")
@@ -192,26 +196,26 @@ def page_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def page_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "pages").select("page_id", exclusion("url").alias("reason"))
+    return texts(spark, sf_dir, "pages").select("page_id", exclusion("url").alias("reason"))
 
 
 @query()
 def page_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detected_articles(read(spark, sf_dir, "pages")).select("page_id", "ok", "reason", "score", "paragraph_count", "character_count", F.col("page.title").alias("title"))
+    return detected_articles(texts(spark, sf_dir, "pages")).select("page_id", "ok", "reason", "score", "paragraph_count", "character_count", F.col("page.title").alias("title"))
 
 
 @query(
     """SELECT doc_id, sha256(coalesce(text, '')) AS sha256, 'r_' || substr(sha1(trim(source)), 1, 12) AS record_id, printf('doc_%07d', doc_id) AS padded_id, doc_id AS id_number FROM documents"""
 )
 def hashes_and_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     padded = F.format_string("doc_%07d", "doc_id")
     return docs.select("doc_id", H.sha256("text").alias("sha256"), R.url_record_id("source", F.col("doc_id"), "r").alias("record_id"), padded.alias("padded_id"), M.id_number(padded).alias("id_number"))
 
 
 @query()
 def blake2b_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", H.blake2b_128(N.key_letters("text")).alias("exact_hash"), H.blake2b_rank(F.col("doc_id").cast("string")).cast("string").alias("rank"))
+    return texts(spark, sf_dir).select("doc_id", H.blake2b_128(N.key_letters("text")).alias("exact_hash"), H.blake2b_rank(F.col("doc_id").cast("string")).cast("string").alias("rank"))
 
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, regexp_extract(CAST(ts AS VARCHAR), '((?:19|20)[0-9][0-9])', 1) AS year FROM events")
@@ -227,7 +231,7 @@ def false_negative_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT conv_id, turn, CASE WHEN text IS NULL THEN 'not_text' WHEN length(s) = 0 THEN 'empty' WHEN length(s) < 20 THEN 'too_short' WHEN length(s) > 100000 THEN 'too_long' ELSE 'ok' END AS status FROM (SELECT conv_id, turn, text, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS s FROM conversations)")
 def service_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "conversations").withColumn("s", N.service("text")).select("conv_id", "turn", "s.status")
+    return texts(spark, sf_dir, "conversations").withColumn("s", N.service("text")).select("conv_id", "turn", "s.status")
 
 
 # --- duplicates, windows, joins ---------------------------------------------------------------------
@@ -245,7 +249,7 @@ def exact_duplicate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH k AS (SELECT doc_id, source, {KEY_C} AS key FROM documents) SELECT min(doc_id) AS doc_id, arg_min(source, doc_id) AS source, md5(key) AS key FROM k GROUP BY key")
 def first_of_equal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", N.key_letters("text").alias("key"))
+    docs = texts(spark, sf_dir).select("doc_id", "source", N.key_letters("text").alias("key"))
     return D.first_per_key(docs, ["key"], [F.col("doc_id")]).select("doc_id", "source", F.md5(F.col("key").cast("binary")).alias("key"))
 
 
@@ -288,7 +292,7 @@ def chosen_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _archive_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", N.article("text").alias("t"))
+    docs = texts(spark, sf_dir).select("doc_id", "source", N.article("text").alias("t"))
     words = F.regexp_extract_all("t", F.lit(f"({M.WORD_PATTERNS['letters_digits']})"), F.lit(1))
     m = docs.withColumn("w", words).withColumn("word_count", F.size("w"))
     bad = F.size(M.quality_rejections("t", F.col("word_count"), M.alphabetic_ratio("t"), M.unique_word_ratio(F.col("w")))) > 0
@@ -369,7 +373,7 @@ def toxic_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT k.doc_id, o.key IS NOT NULL AS exclude_from_training, CASE WHEN o.key IS NULL THEN '' WHEN o.n > 1 OR o.s IS DISTINCT FROM k.source THEN 'annotation_conflict' ELSE 'cross_dataset_duplicate' END AS exclusion_reason FROM k LEFT JOIN o USING (key)"""
 )
 def exclusion_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", N.key_lower("text").alias("key"))
+    docs = texts(spark, sf_dir).select("doc_id", "lang", "source", N.key_lower("text").alias("key"))
     return corpus.excluded(docs.drop("lang"), docs.where("lang <> 'en'"), "key", "source").select("doc_id", "exclude_from_training", "exclusion_reason")
 
 
@@ -378,7 +382,7 @@ def exclusion_list(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT doc_id AS record_id, array_to_string(list_sort(list(DISTINCT m)), ';') AS matched_by FROM m GROUP BY doc_id"""
 )
 def text_or_url_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     return corpus.text_or_url_overlap(docs.where("lang = 'en'"), docs.where("lang <> 'en'"), "doc_id", "text", "source")
 
 
@@ -404,7 +408,7 @@ def wide_label_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT doc_id, array_to_string(ws[1:k], ' ') AS text, len(ws) AS original_word_count, k AS matched_word_count, len(ws) > k AS was_truncated FROM m WHERE k >= 80"""
 )
 def length_matched_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 2).alias("pair_id"), "text")
+    docs = texts(spark, sf_dir).select("doc_id", F.floor(F.col("doc_id") / 2).alias("pair_id"), "text")
     return training.length_matched_set(docs).select("doc_id", "text", "original_word_count", "matched_word_count", "was_truncated")
 
 
@@ -439,7 +443,7 @@ def column_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT CAST(threshold AS BIGINT) AS threshold, (SELECT count(*) FROM w WHERE n >= threshold) AS row_count, (SELECT count(*) FROM f WHERE n >= threshold) AS unique_count FROM t"""
 )
 def word_threshold_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("text", M.word_count("text").alias("n"))
+    docs = texts(spark, sf_dir).select("text", M.word_count("text").alias("n"))
     return reports.threshold_counts(docs, "n", unique="text")
 
 
@@ -468,7 +472,7 @@ def source_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT lang, source, group_size, pattern_name, match_count, round(100.0 * match_count / group_size, 2) AS match_rate FROM u WHERE match_count > 0"""
 )
 def pattern_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.pattern_report(read(spark, sf_dir, "documents"), ["lang", "source"], "text", {"insult": "(?i)idiot", "long_number": "[0-9]{3,}", "at_sign": "@"})
+    return reports.pattern_report(texts(spark, sf_dir), ["lang", "source"], "text", {"insult": "(?i)idiot", "long_number": "[0-9]{3,}", "at_sign": "@"})
 
 
 @query()
@@ -485,7 +489,7 @@ def source_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT lang, rank, ngram, group_df, round(gr, 6) AS group_rate, round(orr, 6) AS other_rate, d AS difference FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY d DESC, group_df DESC, ngram) AS rank FROM r WHERE gr >= 0.02 AND d > 0) WHERE rank <= 30"""
 )
 def language_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.discriminative_ngrams(read(spark, sf_dir, "documents"), "lang", "text")
+    return reports.discriminative_ngrams(texts(spark, sf_dir), "lang", "text")
 
 
 @query("SELECT 'language' AS family, 'lang' AS column_name, coalesce(nullif(trim(lang), ''), 'BOŞ') AS value, count(*) AS count, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS percentage FROM documents GROUP BY ALL UNION ALL SELECT 'source', 'source', coalesce(nullif(trim(source), ''), 'BOŞ'), count(*), round(100.0 * count(*) / sum(count(*)) OVER (), 2) FROM documents GROUP BY ALL")
@@ -500,7 +504,7 @@ def distinct_over_two_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH m AS (SELECT count(*)::DOUBLE AS row_count, (count(*) FILTER (trim(coalesce(text, '')) = ''))::DOUBLE AS empty_texts, count(DISTINCT {KEY_C})::DOUBLE AS distinct_texts, round(avg(length(text)), 4) AS mean_characters, round(avg(len(regexp_extract_all(text, '\\S+'))), 4) AS mean_words FROM documents) UNPIVOT m ON row_count, empty_texts, distinct_texts, mean_characters, mean_words INTO NAME metric VALUE value")
 def corpus_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.corpus_profile(read(spark, sf_dir, "documents"), "text", N.key_letters("text"))
+    return corpus.corpus_profile(texts(spark, sf_dir), "text", N.key_letters("text"))
 
 
 @query("SELECT strftime(min(o_orderdate), '%Y-%m-%d') AS first_day, strftime(max(o_orderdate), '%Y-%m-%d') AS last_day, round(avg(length(o_orderpriority)), 4) AS mean_length FROM orders")
@@ -577,7 +581,7 @@ def threshold_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT doc_id, i AS chunk_index, i * 460 AS start, least(i * 460 + 510, n) AS end, least(i * 460 + 510, n) - i * 460 AS token_count, CASE WHEN i = 0 THEN least(510, n) ELSE least(i * 460 + 510, n) - (i * 460 + 50) END AS effective_token_count FROM k"""
 )
 def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", M.word_count("text").alias("n"))
+    docs = texts(spark, sf_dir).select("doc_id", M.word_count("text").alias("n"))
     return docs.select("doc_id", F.explode(chunks.windows(F.col("n"))).alias("w")).select("doc_id", "w.*")
 
 
@@ -596,13 +600,13 @@ def length_scorer(text: Column) -> Column:
 
 @query()
 def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = chunks.scored_requests(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", length_scorer)
+    out = chunks.scored_requests(texts(spark, sf_dir).select("doc_id", "text"), "doc_id", "text", length_scorer)
     return out.select("doc_id", "status", "chunk_count", "total_token_count", "fake_probability", "label", F.size("chunks").alias("windows"))
 
 
 @query()
 def scored_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.scored_pages(read(spark, sf_dir, "pages"), length_scorer).select("page_id", "ok", "reason", "score", "status", "label")
+    return evaluation.scored_pages(texts(spark, sf_dir, "pages"), length_scorer).select("page_id", "ok", "reason", "score", "status", "label")
 
 
 # --- near duplicates, edits, models, streams ------------------------------------------------------------
@@ -610,12 +614,12 @@ def scored_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.simhash_duplicates(read(spark, sf_dir, "documents"), "doc_id", "text", "doc_id")
+    return similarity.simhash_duplicates(texts(spark, sf_dir), "doc_id", "text", "doc_id")
 
 
 @query()
 def simhash_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.with_simhash(read(spark, sf_dir, "documents"), "text").select("doc_id", H.hex64(F.col("simhash")).alias("simhash64_hex"), "word_count")
+    return similarity.with_simhash(texts(spark, sf_dir), "text").select("doc_id", H.hex64(F.col("simhash")).alias("simhash64_hex"), "word_count")
 
 
 @query()
@@ -626,24 +630,24 @@ def cosine_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def benchmark_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), N.key_lower("text").alias("t"))
+    docs = texts(spark, sf_dir).select(F.col("doc_id").alias("id"), N.key_lower("text").alias("t"))
     return similarity.nearest_reference(docs, "id", "t", read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), N.key_lower("text").alias("t")))
 
 
 @query()
 def counterfactual_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").where(~is_sensitive("text") & has_fact("text"))
+    docs = texts(spark, sf_dir).where(~is_sensitive("text") & has_fact("text"))
     return docs.withColumn("e", counterfactual_udf("text", F.col("doc_id").cast("string"))).select("doc_id", "e.edit_type", "e.original_fact", "e.modified_fact", "e.edit_context")
 
 
 @query()
 def counterfactual_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.audited_pairs(training.pilot(read(spark, sf_dir, "documents"), "doc_id", "text", "source"))
+    return pairs.audited_pairs(training.pilot(texts(spark, sf_dir), "doc_id", "text", "source"))
 
 
 @query()
 def pair_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = training.pilot(read(spark, sf_dir, "documents"), "doc_id", "text", "source")
+    made = training.pilot(texts(spark, sf_dir), "doc_id", "text", "source")
     wide = pairs.wide_pairs(made, "pair_id", F.col("label_standard"), ["text_basic", "edit_type"])
     out = evaluation.pair_differences(wide, "pair_id", "real_text_basic", "fake_text_basic")
     return out.select("pair_id", "fake_edit_type", F.round("similarity", 6).alias("similarity"), "changed_tokens", "edit_size_band")
@@ -651,20 +655,20 @@ def pair_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id AS record_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY k ORDER BY doc_id) AS n FROM (SELECT doc_id, " + KEY_C.replace("coalesce(text, '')", "t") + f" AS k FROM (SELECT * FROM (WITH {MEASURED} SELECT doc_id, t FROM q WHERE reasons = '')))) WHERE n = 1")
 def clean_pool_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    accepted, _ = corpus.clean_pool(read(spark, sf_dir, "documents"), "text", "doc_id")
+    accepted, _ = corpus.clean_pool(texts(spark, sf_dir), "text", "doc_id")
     return accepted.select(F.col("_at").alias("record_id"))
 
 
 @query()
 def final_pool_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    accepted, _ = corpus.clean_pool(read(spark, sf_dir, "documents"), "text", "doc_id")
+    accepted, _ = corpus.clean_pool(texts(spark, sf_dir), "text", "doc_id")
     kept, _ = corpus.final_pool(accepted.withColumnRenamed("_at", "record_id"), "record_id", "text_basic", "record_id")
     return kept.select("record_id", "final_pair_id")
 
 
 @query()
 def mined_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = read(spark, sf_dir, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn")).withColumn("label", F.lit("yanlış"))
+    turns = texts(spark, sf_dir, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn")).withColumn("label", F.lit("yanlış"))
     out = corpus.mined_claims(turns, "text", "label", read(spark, sf_dir, "benchmark"), "text", "id", "id")
     return out.select("record_id", "candidate_status", "quality_status", "extraction_method")
 
@@ -682,14 +686,12 @@ def streamed_distinct_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from harrow.streaming.incremental import distinct_texts, to_table
 
     schema = read(spark, sf_dir, "documents").schema
-    at = f"{shared_dir(spark)}/harrow/stream-{uuid.uuid4().hex}"
+    at = scratch(spark, "stream")
     stream = spark.readStream.schema(schema).format("parquet").option("pathGlobFilter", "*.parquet").load(f"{sf_dir}/documents.parquet*")
     to_table(distinct_texts(stream, "text").select("exact_text_hash"), f"{at}/out", f"{at}/state").awaitTermination()
     return spark.read.parquet(f"{at}/out")
 
 
-
-
 # --- records, labels, unified frames --------------------------------------------------------------------
 
 
@@ -697,8 +699,8 @@ def streamed_distinct_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {PREDICTIONS} SELECT doc_id, row_number() OVER (ORDER BY confidence DESC, doc_id) AS rank FROM p WHERE true_label = 1 AND predicted_label = 0 ORDER BY rank LIMIT 25"""
 )
 def worst_false_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    missed = evaluation.false_negatives(predictions(spark, sf_dir)).withColumn("one", F.lit(1))
-    return ranking.top_per_group(missed, ["one"], [F.col("confidence").desc(), F.col("doc_id")], 25).select("doc_id", "rank")
+    worst = evaluation.false_negatives(predictions(spark, sf_dir)).orderBy(F.col("confidence").desc(), "doc_id").limit(25)
+    return worst.select("doc_id", F.row_number().over(Window.orderBy(F.col("confidence").desc(), "doc_id")).alias("rank"))  # over these 25
 
 
 @query("SELECT doc_id, CASE WHEN quality = 1 THEN 'real' WHEN toxic = 1 THEN 'risky' ELSE 'uncertain' END AS view, CASE WHEN quality = 1 THEN 0 ELSE 1 END AS label_id, toxic = 1 AS flag FROM labels")
@@ -712,7 +714,7 @@ def label_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""SELECT conv_id, turn, concat_ws(chr(10), nullif({WS.format(x="coalesce(role, '')")}, ''), nullif({WS.format(x="coalesce(text, '')")}, '')) AS titled, CASE WHEN {WS.format(x="coalesce(role, '')")} = '' THEN '' ELSE 'Özet: ' || {WS.format(x="role")} END || CASE WHEN {WS.format(x="coalesce(text, '')")} = '' THEN '' ELSE chr(10) || 'Kanıt: ' || {WS.format(x="text")} END AS reference FROM conversations"""
 )
 def joined_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", R.titled_text("role", "text").alias("titled"), R.reference_text("role", "text").alias("reference"))
+    return texts(spark, sf_dir, "conversations").select("conv_id", "turn", R.titled_text("role", "text").alias("titled"), R.reference_text("role", "text").alias("reference"))
 
 
 @query("SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS repaired, o_orderkey AS number FROM orders")
@@ -730,14 +732,14 @@ def length_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH d AS (SELECT doc_id, lang, source, {WS.format(x="text")} AS t FROM documents) SELECT printf('doc_%06d', row_number() OVER (ORDER BY doc_id)) AS record_id, lang AS title_raw, t AS text_basic_body, coalesce(nullif(trim(source), ''), 'unknown') AS source FROM d"""
 )
 def unified_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     out = corpus.unified(docs, "docs", "article_fake_news_binary", "full_article", "lang", "text", "source", "source", None, None, "doc_id", "doc")
     return out.select("record_id", "title_raw", N.whitespace("content_raw").alias("text_basic_body"), "source")
 
 
 @query("SELECT 'docs' AS dataset, count(*) AS row_count, count(*) AS distinct_ids, 0::BIGINT AS repeated_ids, count(*) FILTER (trim(coalesce(lang, '') || coalesce(text, '')) = '') AS empty_texts, count(*) FILTER (source IS NULL) AS null_labels FROM documents")
 def unified_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     out = corpus.unified(docs, "docs", "article_fake_news_binary", "full_article", "lang", "text", "source", "source", None, None, "doc_id", "doc")
     return corpus.unified_audit({"docs": out})
 
@@ -746,18 +748,18 @@ def unified_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH s AS (SELECT doc_id, source, {WS.format(x="text")} AS text FROM documents) SELECT min(doc_id) AS doc_id, text FROM s WHERE length(text) >= 30 GROUP BY text"""
 )
 def standardized_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = texts(spark, sf_dir).select("doc_id", "source", "text")
     return corpus.standardized(docs, {"text": 30}, None, None, ["text"], "doc_id").select("doc_id", "text")
 
 
 @query("SELECT doc_id, CASE WHEN length(trim(text)) < 40 OR len(regexp_extract_all(text, '[A-Za-zÇĞİÖŞÜçğıöşüÂÎÛâîû]{2,}')) < 6 OR length(regexp_replace(text, '[^\\p{L}]', '', 'g')) = 0 THEN 'review_required' ELSE 'quality_candidate' END AS quality_status FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")
 def quality_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.quality_flagged(read(spark, sf_dir, "documents"), "text", "article_main").select("doc_id", "quality_status")
+    return corpus.quality_flagged(texts(spark, sf_dir), "text", "article_main").select("doc_id", "quality_status")
 
 
 @query("SELECT s.doc_id // 2 AS pair_id, count(*) AS row_count, count(DISTINCT s.x) AS labels, 1::BIGINT AS splits FROM (SELECT a.doc_id, unnest(['real', 'fake']) AS x FROM documents a JOIN documents b ON a.doc_id % 2 = 0 AND b.doc_id = a.doc_id + 1) s GROUP BY 1")
 def paired_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 2).alias("pair_id"), "doc_id", "text", "source", F.col("lang").alias("method"))
+    docs = texts(spark, sf_dir).select(F.floor(F.col("doc_id") / 2).alias("pair_id"), "doc_id", "text", "source", F.col("lang").alias("method"))
     made, _ = training.paired_training_set(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"), "pair_id", "text")
     return made.groupBy("pair_id").agg(F.count("*").alias("row_count"), F.count_distinct("label").alias("labels"), F.count_distinct("split").alias("splits"))
 
@@ -766,7 +768,7 @@ def paired_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH k AS (SELECT doc_id, {KEY_C} AS key FROM documents), g AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY key) AS root FROM k) SELECT doc_id, printf('group_%06d', dense_rank() OVER (ORDER BY root)) AS split_group_id FROM g"""
 )
 def duplicate_group_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", N.key_letters("text").alias("key"))
+    docs = texts(spark, sf_dir).select("doc_id", N.key_letters("text").alias("key"))
     return training.duplicate_groups(docs, "doc_id", "key").select("doc_id", "split_group_id")
 
 

@@ -17,16 +17,20 @@ SEPARATORS = (",", ";", "\t", "|")
 _SPARK_NAMES = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8"}
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """Delimited text with a header, quoted line breaks and doubled quotes; typed by schema or inferred."""
-    reader = spark.read.options(header=True, multiLine=True, quote='"', escape='"', sep=sep, encoding=encoding)
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, sep: str = ",", encoding: str = "UTF-8", line_breaks: bool = True) -> DataFrame:
+    """Delimited text with a header, quoted line breaks and doubled quotes; typed by schema or inferred.
+
+    A file that may have line breaks within quotes is read by one task; without
+    ``line_breaks`` large files are split.
+    """
+    reader = spark.read.options(header=True, multiLine=line_breaks, quote='"', escape='"', sep=sep, encoding=encoding)
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
 
 
-def read_csv_strings(spark: SparkSession, path: str, columns: list[str], sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
+def read_csv_strings(spark: SparkSession, path: str, columns: list[str], sep: str = ",", encoding: str = "UTF-8", line_breaks: bool = True) -> DataFrame:
     """All columns as text, bad rows dropped, empty fields as empty text."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    rows = spark.read.options(header=True, multiLine=True, quote='"', escape='"', sep=sep, encoding=encoding, mode="DROPMALFORMED", enforceSchema=True).schema(schema).csv(path)
+    rows = spark.read.options(header=True, multiLine=line_breaks, quote='"', escape='"', sep=sep, encoding=encoding, mode="DROPMALFORMED", enforceSchema=True).schema(schema).csv(path)
     return rows.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns])
 
 
@@ -34,9 +38,44 @@ def read_tsv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     return read_csv(spark, path, schema, sep="\t")
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _first_file(spark: SparkSession, path: str) -> tuple:
+    """(file system, path, length) of a file, or of the first one by name below a folder."""
+    fs, p = _file_system(spark, path)
+    if not fs.exists(p):
+        return fs, p, 0
+    found, files = fs.listFiles(p, True), []
+    while found.hasNext():
+        status = found.next()
+        name = status.getPath().getName()
+        if not name.startswith(("_", ".")):
+            files.append((status.getPath().toString(), status))
+    if not files:
+        return fs, p, 0
+    first = min(files, key=lambda x: x[0])[1]
+    return fs, first.getPath(), first.getLen()
+
+
+def read_bytes(spark: SparkSession, path: str, most: int | None = None) -> bytes:
+    """The first ``most`` bytes of a file (all, if none is given), read from its store by the driver; no more is loaded."""
+    fs, p, length = _first_file(spark, path)
+    n = length if most is None else min(length, most)
+    jvm, out, stream = spark.sparkContext._jvm, bytearray(), fs.open(p) if n else None
+    try:
+        while len(out) < n:
+            out += jvm.org.apache.commons.io.IOUtils.readFully(stream, min(1 << 20, n - len(out)))
+    finally:
+        if stream:
+            stream.close()
+    return bytes(out)
+
+
 def _head(spark: SparkSession, path: str) -> bytes:
-    rows = spark.read.format("binaryFile").load(path).orderBy("path").limit(1).select(F.substring("content", 1, PROBE_BYTES).alias("b")).collect()
-    return bytes(rows[0]["b"]) if rows else b""
+    return read_bytes(spark, path, PROBE_BYTES)
 
 
 def detect_encoding(head: bytes) -> str:
@@ -82,8 +121,8 @@ def recoded(df: DataFrame, encoding: str) -> DataFrame:
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    fs, p = _file_system(spark, path)
+    return fs.exists(p)
 
 
 def read_csv_or_empty(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -140,15 +179,34 @@ def read_text_tree(spark: SparkSession, root: str, least_files: int = 0) -> Data
 
 
 def read_spreadsheet(spark: SparkSession, path: str) -> DataFrame:
-    """A small spreadsheet, all cells as text; needs a spreadsheet engine for pandas."""
+    """A spreadsheet, read whole by the driver, all cells as text; needs a spreadsheet engine for pandas.
+
+    An empty sheet gives its columns without rows.
+    """
     import io
 
-    return spark.createDataFrame(pd.read_excel(io.BytesIO(_head(spark, path)), dtype=str).fillna(""))
+    cells = pd.read_excel(io.BytesIO(read_bytes(spark, path)), dtype=str).fillna("")
+    return spark.createDataFrame(cells.astype(str).values.tolist(), T.StructType([T.StructField(str(c), T.StringType()) for c in cells.columns]))
+
 
+#: What a row of Spark may hold; larger files are hashed as streams.
+MOST_ROW_BYTES = 1 << 30
 
-def file_digest(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256) of files."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+
+def file_digest(spark: SparkSession, path: str, pattern: str = "*", most: int = MOST_ROW_BYTES) -> DataFrame:
+    """(path, sha256) of the files at or below a path; those of more than ``most`` bytes are streamed through the driver."""
+    files = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter=pattern).load(path)
+    jvm = spark.sparkContext._jvm
+    large = []
+    for row in files.where(F.col("length") > most).select("path").collect():
+        fs, p = _file_system(spark, row["path"])
+        stream = fs.open(p)
+        try:
+            large.append((row["path"], jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)))
+        finally:
+            stream.close()
+    small = files.where(F.col("length") <= most).select("path", F.sha2("content", 256).alias("sha256"))
+    return small.unionByName(spark.createDataFrame(large, "path string, sha256 string")) if large else small
 
 
 def with_ordinal(df: DataFrame, *order: str, name: str = "ordinal") -> DataFrame:

@@ -2,31 +2,66 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
+#: Input for each core below which a table is dealt out anew before work that costs more than a shuffle.
+SPREAD_BYTES = 64 << 20
+#: Folders to delete at the end of the process, with the Java objects that do it.
+_LEFT: dict[str, tuple] = {}
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one is made only where none is set."""
+    """The cluster's shared checkpoint folder; a local one is made only where none is set and all runs in one process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        context = spark.sparkContext
+        jdir = context._jsc.sc().getCheckpointDir()
         if jdir.isDefined():
             path = jdir.get()
-        else:
+        elif context.master.startswith("local") and not context.master.startswith("local-cluster"):
             path = "file://" + tempfile.mkdtemp(prefix="harrow-checkpoint-")
-            spark.sparkContext.setCheckpointDir(path)
+            context.setCheckpointDir(path)
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return path.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted at the end of the process at the latest."""
+    path = f"{shared_dir(spark)}/harrow/{name}-{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    _LEFT[path] = (p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p)
+    return path
+
+
+def forget(path: str) -> None:
+    """Delete what is at a path of :func:`scratch`."""
+    if path in _LEFT:
+        fs, p = _LEFT.pop(path)
+        fs.delete(p, True)
+
+
+@atexit.register
+def _forget_all() -> None:
+    for path in list(_LEFT):
+        with suppress(Exception):  # the JVM may have gone first
+            forget(path)
+
+
 @contextmanager
 def _shuffle_files_dropped(spark: SparkSession):
-    """Shuffle files of a finished write go at once, so that stages do not add up on disk."""
+    """Shuffle files of a finished write go at once, so that stages do not add up on disk.
+
+    The setting is the session's: a query that starts meanwhile in another thread
+    frees its own shuffle files at its own end too, and no others.
+    """
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -38,13 +73,13 @@ def _shuffle_files_dropped(spark: SparkSession):
             spark.conf.set(_CLEANUP, before)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read back: lineage ends there."""
+def staged(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
+    """``df`` written as Parquet into the shared folder and read back, in another ``schema`` of the same layout if one is given."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/harrow/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     with _shuffle_files_dropped(spark):
         df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(schema or df.schema).parquet(path)
     out._harrow_path = path
     return out
 
@@ -52,8 +87,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def drop_staged(*frames: DataFrame) -> None:
     """Delete staged tables that no later plan reads."""
     for df in frames:
-        path = getattr(df, "_harrow_path", None)
-        if path:
-            jvm = df.sparkSession.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        forget(getattr(df, "_harrow_path", ""))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if it is small: a few files of one row group each are one task each otherwise."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
