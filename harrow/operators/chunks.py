@@ -30,7 +30,7 @@ def windows(count: Column, size: int = WINDOW, overlap: int = OVERLAP) -> Column
 
 
 def _combined(sums: DataFrame, keys: list[str]) -> DataFrame:
-    fake, real = F.col("fake") / (F.col("fake") + F.col("real")), F.col("real") / (F.col("fake") + F.col("real"))
+    fake, real = (F.try_divide(F.col(c), F.col("fake") + F.col("real")) for c in ("fake", "real"))
     more = [c for c in sums.columns if c not in (*keys, "chunk_count", "total_token_count", "fake", "real")]
     out = sums.select(*keys, "chunk_count", "total_token_count", F.round(real, 6).alias("real_probability"), F.round(fake, 6).alias("fake_probability"), *more)
     label = (F.col("fake_probability") > F.col("real_probability")).cast("int")
