@@ -7,7 +7,7 @@ from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.feature import CountVectorizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -20,8 +20,12 @@ def word_terms(df: DataFrame, text: str, into: str = "terms", lengths: tuple[int
     """``df`` with its texts' words of two characters or more, and their n-grams, repeats kept."""
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"(?U)(\b\w\w+\b)"), F.lit(1))
     out = df.withColumn("_words", words)
-    grams = [F.when(F.size("_words") >= n, F.transform(F.sequence(F.lit(1), F.size("_words") - (n - 1)), lambda i, n=n: F.array_join(F.slice("_words", i, n), " "))).otherwise(F.array().cast("array<string>")) for n in lengths]
-    return out.withColumn(into, F.flatten(F.array(*grams))).drop("_words")
+
+    def grams(n: int) -> Column:  # a function's second parameter would be the position
+        cut = F.transform(F.sequence(F.lit(1), F.size("_words") - (n - 1)), lambda i: F.array_join(F.slice("_words", i, n), " "))
+        return F.when(F.size("_words") >= n, cut).otherwise(F.array().cast("array<string>"))
+
+    return out.withColumn(into, F.flatten(F.array(*[grams(n) for n in lengths]))).drop("_words")
 
 
 class TermWeights:

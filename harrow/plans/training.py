@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from harrow.functions.hashing import sha256
 from harrow.functions.measures import reasons, word_count
-from harrow.functions.normalize import whitespace
+from harrow.functions.normalize import key_letters, whitespace
 from harrow.operators import dedup as D
 from harrow.operators import models, pairs, ranking
 from harrow.operators.components import components
@@ -80,13 +80,32 @@ def exclusion_reasons(df: DataFrame, flags: dict[str, str]) -> DataFrame:
 
 def baselines(train: DataFrame, test: DataFrame, text: str = "text", label: str = "label", features: int = 100_000) -> DataFrame:
     """Metrics of logistic regression, linear SVM and length alone."""
+    return baselines_on(train, {"test": test}, text, label, features).drop("test_set")
+
+
+def baselines_on(train: DataFrame, tests: dict[str, DataFrame], text: str = "text", label: str = "label", features: int = 100_000) -> DataFrame:
+    """The same for several test sets, by ``test_set``; the models are fitted once."""
     weights = models.TermWeights(features=features).fit(train, text)
-    b = weights.transform(test, text)
     balanced = staged(models.balanced_weights(weights.transform(train, text), label), "train-features")
     lr, svm, length = models.logistic(balanced, label, weight="weight"), models.linear_svm(balanced, label), models.length_baseline(train, text, label)
-    named = {"tfidf_logistic": lr.transform(b), "tfidf_svm": svm.transform(b), "length_only": length.transform(test.withColumn("_words", word_count(text).cast("double")))}
     out = None
-    for name, predictions in named.items():
-        row = models.evaluated(models.positive_score(predictions), label).withColumn("model", F.lit(name))
-        out = row if out is None else out.unionByName(row)
+    for test_set, test in tests.items():
+        b = weights.transform(test, text)
+        named = {"tfidf_logistic": lr.transform(b), "tfidf_svm": svm.transform(b), "length_only": length.transform(test.withColumn("_words", word_count(text).cast("double")))}
+        for name, predictions in named.items():
+            row = models.evaluated(models.positive_score(predictions), label).withColumns({"model": F.lit(name), "test_set": F.lit(test_set)})
+            out = row if out is None else out.unionByName(row)
     return out
+
+
+def external_baselines(train: DataFrame, external: DataFrame, record: str, text: str = "text", label: str = "label", features: int = 100_000) -> DataFrame:
+    """Baselines on a group-safe split and on an external set: metrics by ``test_set``.
+
+    Training rows whose text the external set has too are left out, by one key for
+    both; equal texts never lie on both sides of the split.
+    """
+    keyed = train.withColumn("_key", sha256(key_letters(text)))
+    theirs = external.select(sha256(key_letters(text)).alias("_key")).distinct()
+    clean = keyed.join(theirs, "_key", "left_anti")
+    split = staged(group_safe_split(duplicate_groups(clean, record, "_key").drop("_key"), label=label), "external-split")
+    return baselines_on(split.where("split = 'train'"), {"internal": split.where("split <> 'train'"), "external": external}, text, label, features)

@@ -598,10 +598,18 @@ def length_scorer(text: Column) -> Column:
     return F.least(F.length(text) / 5000.0, F.lit(1.0))
 
 
-@query()
+@query(
+    r"""WITH s AS (SELECT doc_id, text IS NULL AS missing, trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[\x{200B}-\x{200D}\x{FEFF}]', '', 'g'), '[\x01-\x08\x0b\x0c\x0e-\x1f\x7f]', ' ', 'g'), '[ \t\n\r\f\v]+', ' ', 'g')) AS t FROM documents),
+ g AS (SELECT doc_id, string_split(t, ' ') AS ws, CASE WHEN missing THEN 'not_text' WHEN t = '' THEN 'empty' WHEN length(t) < 20 THEN 'too_short' WHEN length(t) > 100000 THEN 'too_long' WHEN len(string_split(t, ' ')) + 2 < 80 THEN 'too_few_tokens' ELSE 'ok' END AS status FROM s),
+ k AS (SELECT doc_id, ws, len(ws) AS n, unnest(range(CASE WHEN len(ws) <= 510 THEN 1 ELSE CAST(ceil((len(ws) - 50) / 460) AS BIGINT) END)) AS i FROM g WHERE status = 'ok'),
+ c AS (SELECT doc_id, least(length(array_to_string(ws[i * 460 + 1:least(i * 460 + 510, n)], ' '))::DOUBLE / 5000.0::DOUBLE, 1.0::DOUBLE) AS p, CASE WHEN i = 0 THEN least(510, n) ELSE least(i * 460 + 510, n) - (i * 460 + 50) END AS w FROM k),
+ a AS (SELECT doc_id, count(*) AS chunk_count, CAST(sum(w) AS BIGINT) AS total_token_count, sum(p * w) / sum(w) AS f, sum((1 - p) * w) / sum(w) AS r FROM c GROUP BY doc_id)
+ SELECT g.doc_id, status, coalesce(chunk_count, 0) AS chunk_count, coalesce(total_token_count, 0) AS total_token_count, round(f / (f + r), 6) AS fake_probability, CASE WHEN round(f / (f + r), 6) > round(r / (f + r), 6) THEN 'fake' WHEN f IS NOT NULL THEN 'real' END AS label, coalesce(chunk_count, 0) AS windows FROM g LEFT JOIN a USING (doc_id)"""
+)
 def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chunks.scored_requests(texts(spark, sf_dir).select("doc_id", "text"), "doc_id", "text", length_scorer)
-    return out.select("doc_id", "status", "chunk_count", "total_token_count", "fake_probability", "label", F.size("chunks").alias("windows"))
+    counts = {"chunk_count": F.col("chunk_count"), "total_token_count": F.col("total_token_count"), "windows": F.size("chunks")}
+    return out.select("doc_id", "status", *[F.coalesce(c, F.lit(0)).alias(n) for n, c in counts.items()], "fake_probability", "label")
 
 
 @query()
