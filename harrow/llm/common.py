@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrow.staging import drop_staged, shared_dir, staged
+from harrow.staging import drop_staged, scratch, staged
 
-__all__ = ["attach", "drop_staged", "packed", "shared_dir", "staged", "table", "unpacked", "with_column"]
+__all__ = ["attach", "drop_staged", "packed", "scratch", "staged", "table", "unpacked", "with_column"]
 
 #: A side is broadcast only if a count proves that it has at most this many rows.
 BROADCAST_ROWS = 10_000

@@ -14,7 +14,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from harrow.llm.codec import decode_block, encode_block
-from harrow.llm.common import attach, shared_dir, table
+from harrow.llm.common import attach, scratch, table
 from harrow.llm.tokens import WordEncoder
 
 END_ID = 1
@@ -137,6 +136,6 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` written to a file set and read back."""
-    path = f"{shared_dir(spark)}/harrow/token-files-{uuid.uuid4().hex}"
+    path = scratch(spark, "token-files")
     write_token_files(table(spark, sf_dir, "documents"), path)
     return read_token_files(spark, path)
