@@ -4,8 +4,12 @@ In each of several tables a vector is projected at random to two blocks of eight
 dimensions and each block is decoded to its nearest points of the E8 lattice; the
 nearest combinations, own cell and neighbouring ones, are the vector's keys there.
 Vectors of one label that share a key are compared exactly, by cosine in double
-precision. Equal vectors are compared once, as a class, and a crowded cell is
-compared block by block, so that no pair is lost to a cap and none is written out.
+precision. Equal vectors are compared once, as a class. In a crowded cell the rows
+within half the threshold's angle of one of them, its leader, are a core: any two
+of a core link by the triangle inequality, so that they are counted together and
+compared with none of their own; only rows outside of the cell's main core are
+compared, block by block, with all of it. So a group of near copies costs what its
+rim costs, no pair is lost to a cap and none is written out.
 
 Edge cases. Null, empty, zero and non-finite vectors, and a null label, link with
 nothing; vectors of different length never link; repeated rows link with each
@@ -21,11 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harrow.llm.cells import by_cell, first_shared, pairs
-from harrow.llm.common import drop_staged, staged, table
+from harrow.llm.common import attach, drop_staged, staged, table
 from harrow.operators.components import components
 
 COSINE = 0.98
@@ -119,7 +123,7 @@ def _links(frames: Iterator[pd.DataFrame], cosine: float) -> Iterator[pd.DataFra
             x = np.array(part["vec"].tolist(), np.float64)
             x /= np.linalg.norm(x, axis=1, keepdims=True)
             keys, key = np.array(part["keys"].tolist(), np.int64), part["key"].to_numpy()
-            rep, weight = part["rep"].to_numpy(), part["weight"].to_numpy()
+            rep, weight, core = part["rep"].to_numpy(), part["weight"].to_numpy(), part["core"].to_numpy()
             counted = np.zeros(len(part), np.int64)
             parent = list(range(len(part)))
 
@@ -131,6 +135,8 @@ def _links(frames: Iterator[pd.DataFrame], cosine: float) -> Iterator[pd.DataFra
             for every_p, every_q in pairs(part, _CELL):
                 for at in range(0, len(every_p), _PAIRS):
                     p, q = every_p[at : at + _PAIRS], every_q[at : at + _PAIRS]
+                    apart = core[p] != core[q]  # links within a core are counted already
+                    p, q = p[apart], q[apart]
                     near = np.einsum("ij,ij->i", x[p], x[q]) >= cosine
                     p, q = p[near], q[near]
                     here = first_shared(keys, p, q) == key[p]
@@ -148,6 +154,46 @@ def _links(frames: Iterator[pd.DataFrame], cosine: float) -> Iterator[pd.DataFra
                 yield pd.DataFrame({"rep": rep[keep], "links": counted[keep], "to": least[keep]})
 
 
+def _cores(crowded: DataFrame, points: DataFrame, cosine: float) -> DataFrame:
+    """(rep, core): rows of crowded cells within half the angle of ``cosine`` of a cell's leader, the smallest such leader.
+
+    The leaders' table has one row for each crowded cell.
+    """
+    leaders = crowded.groupBy("cell").agg(F.min("rep").alias("leader"))
+    leaders = leaders.join(points.select(F.col("rep").alias("leader"), F.col("vec").alias("centre")), "leader")
+    pairs_ = attach(crowded.join(points.select("rep", "vec"), "rep"), leaders, "cell")
+
+    def dot(x: str, y: str) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+
+    cos = dot("vec", "centre") / F.sqrt(dot("vec", "vec") * dot("centre", "centre"))
+    half = float(np.sqrt((1.0 + cosine) / 2.0)) + 1e-9  # beyond what rounding could undo
+    return pairs_.where(cos >= half).groupBy("rep").agg(F.min("leader").alias("core"))
+
+
+def _dealt(crowded: DataFrame, cores: DataFrame, crowd: int) -> DataFrame:
+    """(rep, cell, a, b, side) of crowded cells: the rows outside of a cell's main core among themselves and against it."""
+    rows = crowded.join(cores, "rep", "left").withColumn("core", F.coalesce("core", "rep"))
+    parts = rows.groupBy("cell", "core").agg(F.count("*").alias("c"))
+    shape = parts.groupBy("cell").agg(F.max_by("core", "c").alias("main"), F.ceil(F.max("c") / crowd).cast("int").alias("inner"), F.ceil((F.sum("c") - F.max("c")) / crowd).cast("int").alias("outer"))
+    rows = attach(rows, shape, "cell")
+    inside = F.col("core") == F.col("main")
+    own = F.pmod(F.xxhash64("rep", F.lit(7)), F.greatest(F.when(inside, F.col("inner")).otherwise(F.col("outer")), F.lit(1))).cast("int")
+    rows = rows.select("rep", "cell", "inner", "outer", inside.alias("inside"), own.alias("own"))
+
+    def cell(a: Column, b: Column, side: Column) -> Column:
+        return F.struct(a.alias("a"), b.alias("b"), side.alias("side"))
+
+    none = F.array().cast("array<struct<a:int,b:int,side:int>>")
+    outer = F.when(F.col("outer") > 0, F.sequence(F.lit(0), F.col("outer") - 1)).otherwise(F.array().cast("array<int>"))
+    inner = F.sequence(F.lit(0), F.col("inner") - 1)
+    across = F.transform(outer, lambda o: cell(F.least("own", o), F.greatest("own", o), F.when(F.col("own") == o, 0).when(F.col("own") < o, 1).otherwise(2)))
+    to_main = F.transform(inner, lambda j: cell(F.col("own"), F.col("outer") + j, F.lit(1)))
+    from_main = F.transform(outer, lambda o: cell(o, F.col("outer") + F.col("own"), F.lit(2)))
+    every = F.when(F.col("inside"), F.coalesce(from_main, none)).otherwise(F.concat(across, to_main))
+    return rows.select("rep", "cell", F.explode(every).alias("p")).select("rep", "cell", "p.a", "p.b", "p.side")
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, crowd: int = CROWD, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vec"), F.col(label_col).alias("label"))
@@ -164,17 +210,23 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
     keyed = points.select("rep", "vec", "dim").mapInPandas(lambda f: _hashed(f, tables, probes, scale), "rep long, keys array<long>")
     keyed = staged(keyed, "vector-keys")
     cells = keyed.select("rep", F.explode("keys").alias("key")).join(points.select("rep", "label", "dim"), "rep").select("rep", F.struct("key", "label", "dim").alias("cell"))
-    full = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / crowd).cast("int")
-    own = F.pmod(F.xxhash64("rep", F.lit(7)), blocks).cast("int")
-    dealt = cells.join(full, "cell").select("rep", "cell", own.alias("own"), blocks.alias("blocks"))
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("a"), F.greatest("own", o).alias("b"))))
-    dealt = dealt.select("rep", "cell", "own", pair.alias("pair"))
-    side = F.when(F.col("pair.a") == F.col("pair.b"), 0).when(F.col("own") == F.col("pair.a"), 1).otherwise(2)
-    full_rows = dealt.select("rep", F.col("cell.key").alias("key"), F.col("cell.label").alias("label"), F.col("cell.dim").alias("dim"), F.col("pair.a").alias("a"), F.col("pair.b").alias("b"), side.alias("side"))
-    full_rows = full_rows.join(keyed, "rep").join(points.select("rep", "vec", "weight"), "rep")
+    full = staged(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "vector-cells")
+    some = cells.join(full.where(F.col("n") <= crowd).select("cell"), "cell").select("rep", "cell", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("side"))
+    cores, within = None, None
+    if full.where(F.col("n") > crowd).limit(1).count():
+        crowded = staged(attach(cells, full.where(F.col("n") > crowd), "cell").where("n is not null").select("rep", "cell"), "crowded-cells")
+        cores = staged(_cores(crowded, points, cosine), "vector-cores")
+        totals = cores.join(points.select("rep", "weight"), "rep")
+        sums = totals.groupBy("core").agg(F.sum("weight").alias("total"))
+        within = attach(totals, sums, "core").select("rep", (F.col("total") - F.col("weight")).alias("links"), F.col("core").alias("to")).where("links > 0")
+        some = some.unionByName(_dealt(crowded, cores, crowd))
+    full_rows = some.select("rep", "cell.key", "cell.label", "cell.dim", "a", "b", "side").join(keyed, "rep").join(points.select("rep", "vec", "weight"), "rep")
+    full_rows = full_rows.join(cores, "rep", "left").withColumn("core", F.coalesce("core", "rep")) if cores is not None else full_rows.withColumn("core", F.col("rep"))
     found = staged(full_rows.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInPandas(lambda f: _links(f, cosine), "rep long, links long, to long"), "vector-links")
-    drop_staged(keyed)
+    drop_staged(keyed, full)
+    if within is not None:
+        found = staged(found.unionByName(within), "vector-links")
+        drop_staged(crowded, cores)
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = components(found.where("`to` <> rep").select(F.col("rep").alias("a"), F.col("to").alias("b")))
     named = classes.select("rep", "_class", "least", "weight").join(linked, "rep", "left").join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left")

@@ -296,6 +296,34 @@ def test_lattice_recall_against_brute_force(spark):
     assert all(got[i] <= n for i, n in enumerate(want)) and sum(got.values()) >= 0.97 * sum(want)
 
 
+@pytest.mark.parametrize("crowd", [8, 50, 1024])
+def test_lattice_counts_groups_of_near_copies_exactly(spark, crowd):
+    """Tight groups, rims around them, groups within reach of each other: every link of them is found in some table."""
+    rng = np.random.default_rng(12)
+    centre = rng.normal(size=(3, 32))
+    centre /= np.linalg.norm(centre, axis=1, keepdims=True)
+    tight = centre[rng.integers(0, 3, 300)] + rng.normal(size=(300, 32)) * 0.002
+    rim = centre[rng.integers(0, 3, 60)] + rng.normal(size=(60, 32)) * 0.02
+    x = np.concatenate([tight, rim, tight[:20], rng.normal(size=(20, 32))])
+    vectors = [(i, v.astype(np.float32).tolist(), int(i % 3 == 0)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int")
+    links, roots = brute_links(vectors)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in lattice.near_duplicates(df, crowd=crowd).collect()}
+    assert all(got[i][0] <= n for i, n in enumerate(links)) and sum(n for n, _ in got.values()) >= 0.999 * sum(links)
+    assert [got[i][1] for i in range(len(x))] == roots
+
+
+def test_lattice_deals_a_core_once(spark):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=32) + rng.normal(size=(400, 32)) * 0.001
+    points = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "rep long, vec array<double>, weight long")
+    crowded = points.selectExpr("rep", "named_struct('key', 1L, 'label', 1, 'dim', 32) AS cell").unionByName(points.limit(0).selectExpr("rep", "named_struct('key', 1L, 'label', 1, 'dim', 32) AS cell"))
+    cores = lattice._cores(crowded, points, 0.98)
+    assert cores.select("core").distinct().count() == 1 and cores.count() == 400
+    assert lattice._dealt(crowded, cores, 16).count() == 0
+    assert lattice._dealt(crowded, cores.where("rep >= 10 or rep = core"), 16).count() == 9 * (1 + 25) + 391
+
+
 def test_lattice_edge_cases(spark):
     v = [1.0, 2.0, 3.0]
     vectors = [(1, v, 1), (2, v, 1), (2, v, 1), (3, [2.0, 4.0, 6.0], 1), (4, v, 2), (5, v, None), (6, None, 1), (7, [], 1), (8, [0.0, -0.0, 0.0], 1), (9, [1.0, None, 3.0], 1), (10, [1.0, float("nan"), 3.0], 1), (11, [1.0, 2.0], 1), (12, [float("inf"), 0.0, 0.0], 1)]
