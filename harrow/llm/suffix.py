@@ -26,7 +26,9 @@ Longer texts than a block are cut into pieces of a block that overlap by
 ``length - 1`` bytes, so that each suffix starts in one piece; a piece's own cover
 sample reaches into the overlap, which can only let more suffixes through to step
 2. The pieces' marked bytes meet again at their text. A block takes about 25 times
-its bytes of a worker's memory, a long text in that last step about 3 times.
+its bytes of a worker's memory, a long text in that last step about 3 times. Rows
+are dealt to blocks by a hash of id and text; if rows that repeat both fill a block
+beyond measure, all are dealt row by row instead, by a staged table.
 
 Edge cases. A null text counts as empty; texts shorter than ``length`` lose
 nothing; repeated rows are documents of their own, and so all their bytes repeat
@@ -58,6 +60,8 @@ V = 91
 BLOCK_BYTES = 4 << 20
 #: Blocks for each bucket of the sample and of the suffixes, so that a bucket holds as many keys as that at most.
 SAMPLE_BLOCKS, SUFFIX_BLOCKS = 8, 2
+#: Blocks' worth of text in one block from which on rows are dealt row by row.
+FULL_BLOCKS = 4
 #: Key ranges that are built one after the other.
 RANGES = 3
 
@@ -335,11 +339,14 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, texts: bool = True, b
         return F.pmod(F.xxhash64(*what), F.lit(blocks)).cast("int").alias("_blk")
 
     dealt = rows.select("*", to_block("_id", "_text"))
+    filled = dealt.select("_blk", F.octet_length("_text").alias("n")).where(F.col("n") <= max(block_bytes, 2 * length)).groupBy("_blk").agg(F.sum("n").alias("n"))
+    if blocks > 1 and filled.where(F.col("n") > FULL_BLOCKS * block_bytes + 2 * length).limit(1).count():
+        dealt = staged(rows.select("*", to_block(F.monotonically_increasing_id())), "dealt")
     long = None
     if longest > max(block_bytes, 2 * length):
         is_long = F.octet_length("_text") > max(block_bytes, 2 * length)
         # The staged table fixes the keys by which a text and its pieces meet again.
-        long = staged(rows.where(is_long).select(F.monotonically_increasing_id().alias("_key"), "_row", "_text"), "long-texts")
+        long = staged(dealt.where(is_long).select(F.monotonically_increasing_id().alias("_key"), "_row", "_text"), "long-texts")
         pieces = long.select("_key", "_text").mapInArrow(lambda b: _cut(b, max(block_bytes, length), length), "_key long, _part int, _text binary")
         kind = dict(rows.dtypes)
         pieces = pieces.select(F.lit(None).cast(kind["_row"]).alias("_row"), F.lit(None).cast(kind["_id"]).alias("_id"), "_text", to_block("_key", "_part"), "_key", "_part")

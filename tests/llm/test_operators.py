@@ -102,6 +102,18 @@ def test_suffix_sample_keys_that_all_collide_change_nothing(monkeypatch):
     assert got == brute_removed(texts, 200)
 
 
+def test_suffix_deals_rows_that_repeat_id_and_text(spark, monkeypatch):
+    texts = ["the same row again and again " * 10] * 120 + ["another " * 30, "short"]
+    docs = spark.createDataFrame([(None if i < 120 else i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    tables = []
+    whole = suffix.staged
+    monkeypatch.setattr(suffix, "staged", lambda df, name, *a: tables.append((name, out := whole(df, name, *a))) or out)
+    out = suffix.substring_dedup(docs, block_bytes=1000, texts=False).select("_row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert Counter(tuple(r)[1:] for r in out) == Counter(brute_removed(texts, 200))
+    dealt = dict(tables)["dealt"]
+    assert dealt.groupBy("_blk").count().agg(F.max("count")).first()[0] < 30
+
+
 def test_suffix_cuts_long_texts(spark):
     rng = np.random.default_rng(6)
     passage = "".join(rng.choice(list("abcd "), 900))
