@@ -17,7 +17,8 @@ with there, so that a group of n copies costs n rows and not n^2 pairs.
 
 Words are runs of letters and digits, lowered. Edge cases. A text of fewer than
 five words is one shingle of all its words; a null text or one without words links
-with nothing; documents of equal sets link whatever their ids; a null id takes part
+with nothing; documents of equal sets link whatever their ids; ids are whole
+numbers, others are an error; a null id takes part
 but names no component; repeated rows are documents of their own; texts are read
 whole; an empty table gives an empty result; other columns are ignored.
 """

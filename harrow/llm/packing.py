@@ -7,7 +7,7 @@ none exceeds the capacity. A block has a fixed number of tokens, so that memory
 bounded and a partition is packed in one pass, without a shuffle.
 
 Edge cases. A null or empty text still has its end id and is one piece of length
-1; a null id stays null; repeated rows are documents of their own; texts of any
+1; ids are whole numbers, others are an error; a null id stays null; repeated rows are documents of their own; texts of any
 length are cut; an empty table gives no pieces; other columns are ignored.
 """
 

@@ -6,7 +6,8 @@ block's documents: ids and lengths, deflated) and ``payload`` (see
 ``harrow.llm.codec``). Spark's own writer commits them, so that a lost executor
 leaves no half-written file, and any store that Spark reaches will do.
 
-Edge cases. A null or empty text has the end id alone; a null id comes first;
+Edge cases. A null or empty text has the end id alone; ids are whole numbers,
+others are an error; a null id comes first;
 repeated ids stay rows of their own, ordered by a hash of their text; a text of
 any length stays in one block; an empty table gives an empty file set; other
 columns are ignored.
