@@ -131,6 +131,7 @@ def group_labels(df: DataFrame, key: str, value: str) -> DataFrame:
 
 def choose_representatives(df: DataFrame) -> DataFrame:
     """Of equal texts keep the good one, of the smaller category, of known source, the longest, the first."""
+    df = staged(df, "candidates")  # read three times
     sizes = df.groupBy("category_original").agg(F.count("*").alias("_category_size"))
     with_sizes = df.join(sizes, "category_original", "left")
     order = [

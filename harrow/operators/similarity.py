@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter, defaultdict
 from functools import reduce
 
@@ -30,15 +31,17 @@ def simhash_links(df: DataFrame, record: str, order: str, most: int = MOST_BITS,
     """(earlier, later, hamming_distance, length_ratio) of rows that share a band and are near.
 
     Rows of equal hash and length are one class for the join, with their first row
-    as its name, so that many equal texts do not meet in pairs.
+    as its name, so that many equal texts do not meet in pairs; and rows meet only
+    with those whose length is of their own step of ``least_ratio`` or the next.
     """
     rows = df.select(F.col(record).alias("id"), F.col(order).alias("at"), "simhash", "word_count")
     heads = rows.groupBy("simhash", "word_count").agg(F.min(F.struct("at", "id")).alias("h")).select("simhash", "word_count", "h.at", "h.id")
     inner = rows.join(heads.select("simhash", "word_count", F.col("at").alias("head_at"), F.col("id").alias("head")), ["simhash", "word_count"]).where("id <> head and word_count > 0")
     same = inner.select(F.col("head").alias("earlier"), F.col("id").alias("later"), F.lit(0).alias("hamming_distance"), F.lit(1.0).alias("length_ratio"))
-    keyed = heads.select("*", F.explode(bands(F.col("simhash"))).alias("band"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.struct("a.at", "a.id") < F.struct("b.at", "b.id")))
+    step = F.floor(F.log("word_count") / (-math.log(least_ratio) * (1 + 1e-9))).cast("int")
+    keyed = heads.where("word_count > 0").select("*", F.explode(bands(F.col("simhash"))).alias("band"), step.alias("step"))
+    a, b = keyed.alias("a"), keyed.withColumn("step", F.explode(F.array(*[F.col("step") + d for d in (-1, 0, 1)]))).alias("b")
+    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.step") == F.col("b.step")) & (F.struct("a.at", "a.id") < F.struct("b.at", "b.id")))
     near = pairs.select(F.col("a.id").alias("earlier"), F.col("b.id").alias("later"), hamming(F.col("a.simhash"), F.col("b.simhash")).alias("hamming_distance"), length_ratio(F.col("a.word_count"), F.col("b.word_count")).alias("length_ratio"))
     near = near.where((F.col("hamming_distance") <= most) & (F.col("length_ratio") >= least_ratio)).distinct()
     return near.unionByName(same)

@@ -157,6 +157,7 @@ def mined_claims(df: DataFrame, report: str, label: str, references: DataFrame,
     false_only = df.where(R.is_false_label(label))
     claims = false_only.withColumn("_c", R.extracted_claim(report, form)).select(F.col(record).alias("record_id"), F.col(order).alias("_at"), F.col("_c.claim").alias("text_basic"), F.col("_c.method").alias("extraction_method"))
     judged = claims.withColumn("_q", M.claim_quality("text_basic")).withColumns({"quality_status": F.col("_q.status"), "quality_reasons": F.col("_q.reasons"), "comparison_text": N.key_claim("text_basic", form)}).drop("_q")
+    judged = staged(judged, "claims")  # read more than once
     ranked = D.ranked_duplicates(judged, ["comparison_text"], [F.col("_at")], "internal_exact")
     known = references.select(N.key_claim(reference_text, form).alias("comparison_text")).where("comparison_text <> ''").distinct().withColumn("exact_overlap", F.lit(True))
     out = ranked.join(known, "comparison_text", "left").withColumn("exact_overlap", F.coalesce("exact_overlap", F.lit(False)))
