@@ -125,7 +125,7 @@ def final_pool(pool: DataFrame, record: str, text: str, order: str, pattern: str
 def archive(df: DataFrame, text: str = "text", category: str = "category", name: str = "name", prefix: str = "archive") -> DataFrame:
     """News files parsed, with their exact duplicates marked."""
     out = df.withColumn("_n", R.news_item(text)).select(F.format_string(f"{prefix}_%s_%s", F.col(category), F.col(name)).alias("record_id"), F.col(category).alias("category_original"), "_n.*")
-    out = out.withColumn("exact_text_hash", sha256(N.key_letters("text_basic", letters="çğıöşü")))
+    out = staged(out.withColumn("exact_text_hash", sha256(N.key_letters("text_basic", letters="çğıöşü"))), "archive")  # read twice
     return D.with_group_facts(out, "exact_text_hash", {}, "exact_duplicate_group_size").withColumn("is_exact_duplicate", F.col("exact_duplicate_group_size") > 1)
 
 
