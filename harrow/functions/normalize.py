@@ -51,9 +51,13 @@ def _unescaped(s: pd.Series) -> pd.Series:
 
 
 def nfkc(c: ColumnOrName, form: bool = True) -> Column:
-    """Compatibility composition; plain ASCII has the form, and stays in the JVM."""
+    """Compatibility composition; of a column given by name, plain ASCII has the form and stays in the JVM."""
     value = text(c)
-    return F.coalesce(_nfkc(F.when(F.octet_length(value) != F.length(value), value)), value) if form else value
+    if not form:
+        return value
+    if not isinstance(c, str):  # an expression would be there four times
+        return _nfkc(value)
+    return F.coalesce(_nfkc(F.when(F.octet_length(value) != F.length(value), value)), value)
 
 
 def unmarked(c: ColumnOrName) -> Column:
