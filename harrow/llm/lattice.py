@@ -39,7 +39,7 @@ PROBES = 4
 #: Cells against the projected difference of two vectors at the threshold.
 SCALE = 0.52
 #: Vectors of a cell that are compared at once; larger cells are searched for cores.
-CROWD = 256
+CROWD = 1024
 _SEED = 20_011
 
 
