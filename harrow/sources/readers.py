@@ -99,10 +99,23 @@ def detect_separator(head: bytes, encoding: str) -> str:
     return max(SEPARATORS, key=lambda s: max((len(r) for r in csv.reader(lines, delimiter=s)), default=0))
 
 
+def encoding_of(spark: SparkSession, path: str) -> str:
+    """The first encoding that reads every line of all files at or below a path; the executors look.
+
+    The first bytes do not tell: a first file may be a header alone, and a letter may come late.
+    """
+    raw = spark.read.text(path).select(F.is_valid_utf8("value").alias("utf8"), F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("letters"))
+    none = "".join(chr(b) for b in range(128, 160) if bytes([b]).decode("cp1254", "replace") == "\ufffd")
+    row = raw.agg(F.min("utf8").alias("utf8"), F.max(F.col("letters").rlike(f"[{none}]")).alias("none")).first()
+    if row["utf8"] is not False:
+        return "utf-8-sig" if read_bytes(spark, path, 3) == b"\xef\xbb\xbf" else "utf-8"
+    return "iso-8859-9" if row["none"] else "cp1254"
+
+
 def read_csv_flexible(spark: SparkSession, path: str) -> DataFrame:
     """Delimited text of unknown encoding and separator."""
     head = _head(spark, path)
-    encoding = detect_encoding(head)
+    encoding = encoding_of(spark, path)
     return recoded(read_csv(spark, path, sep=detect_separator(head, encoding), encoding=_SPARK_NAMES.get(encoding, "ISO-8859-1")), encoding)
 
 
