@@ -21,8 +21,8 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Delimited files with a header, written by all executors."""
-    df.write.mode("overwrite").options(header=True, quote='"', escape='"', emptyValue="").csv(path)
+    """Delimited files with a header, written by all executors; white space at the ends of texts stays."""
+    df.write.mode("overwrite").options(header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def _put(spark, path: str, data: bytes) -> None:
