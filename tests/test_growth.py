@@ -1,9 +1,12 @@
 """What a review found of queries' growth: the same results by cheaper steps."""
 
 import random
+from difflib import SequenceMatcher
+from time import perf_counter
 
 from harrow.functions import constants as K
 from harrow.functions import normalize as N
+from harrow.functions.edits import TokenMatcher, difference
 
 
 def test_character_classes_hold_the_same_characters_without_chains_of_ranges(spark):
@@ -22,3 +25,25 @@ def test_squeezed_texts_are_as_before(spark):
     texts = ["".join(rng.choice("ab  \n\t 　\x85é") for _ in range(rng.randrange(40))) for _ in range(500)]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", N.whitespace("t").alias("s")).collect()
     assert all(r["s"] == " ".join("".join(" " if c in N.WHITE_CHARACTERS else c for c in r["t"]).split()) for r in rows)
+
+
+def test_differences_of_tokens_by_tables_are_those_of_pairs(monkeypatch):
+    rng = random.Random(3)
+    for few in (-1, 30):
+        monkeypatch.setattr(TokenMatcher, "FEW", few)
+        for _ in range(400):
+            letters = "abcdefgh"[: rng.choice([1, 2, 3, 8])]
+            x = [rng.choice(letters) for _ in range(rng.randrange(60))] * rng.randrange(1, 4)
+            y = list(x) if rng.random() < 0.6 else [rng.choice(letters) for _ in range(rng.randrange(60))]
+            for _ in range(rng.randrange(4)):
+                i = rng.randrange(len(y) + 1)
+                y[i : i + rng.randrange(3)] = [rng.choice(letters + "xyz") for _ in range(rng.randrange(3))]
+            assert TokenMatcher(x, y).get_opcodes() == SequenceMatcher(None, x, y, autojunk=False).get_opcodes()
+
+
+def test_a_long_text_of_few_words_is_compared_in_no_quadratic_time():
+    rng = random.Random(7)
+    words = [rng.choice("abcdefgh") for _ in range(20_000)]
+    began = perf_counter()
+    assert difference(" ".join(words), " ".join([*words[:7000], "other", *words[7001:]]))[1] == 1
+    assert perf_counter() - began < 10  # by pairs of equal tokens: minutes
