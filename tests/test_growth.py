@@ -4,8 +4,11 @@ import random
 from difflib import SequenceMatcher
 from time import perf_counter
 
+import pyarrow as pa
+
 from harrow.functions import constants as K
 from harrow.functions import normalize as N
+from harrow.functions import pages
 from harrow.functions.edits import TokenMatcher, difference
 
 
@@ -47,3 +50,13 @@ def test_a_long_text_of_few_words_is_compared_in_no_quadratic_time():
     began = perf_counter()
     assert difference(" ".join(words), " ".join([*words[:7000], "other", *words[7001:]]))[1] == 1
     assert perf_counter() - began < 10  # by pairs of equal tokens: minutes
+
+
+def test_pages_are_parsed_and_given_back_few_at_once(spark):
+    html = [None, "", *(f"<title>A title of page {i}</title><p>{'some words ' * 9}{i}</p>" for i in range(500))]
+    parts = list(pages.facts_of(iter([pa.array(html[:400]), pa.array(html[400:])])))
+    assert max(map(len, parts)) <= pages.PAGES_AT_ONCE
+    wanted = [dict(zip(pages._FIELDS, pages.page_facts(h), strict=True)) for h in html]
+    assert [x for p in parts for x in p.to_pylist()] == wanted
+    rows = spark.createDataFrame(list(enumerate(html)), "i int, html string").coalesce(1).select("i", pages.page_udf("html").alias("p")).orderBy("i").collect()
+    assert [r["p"].asDict() for r in rows] == wanted
