@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.functions.measures import share
+from harrow.staging import staged
 
 
 def distribution(df: DataFrame, column: str, nulls: bool = False, digits: int = 4) -> DataFrame:
@@ -40,15 +41,18 @@ def metrics_table(row: DataFrame) -> DataFrame:
 def threshold_counts(df: DataFrame, count: str, thresholds: tuple[int, ...] = (20, 50, 80, 120, 200), unique: str | None = None) -> DataFrame:
     """Rows, and first occurrences of a key, that reach each threshold.
 
-    Only the (key, count) of first occurrences is reduced, so no window is needed.
+    With a key, its values' digests alone are grouped, each with its rows' numbers and
+    its greatest count, so that neither a window nor a second reading is needed.
     """
-    row = df.agg(*[F.count_if(F.col(count) >= t).alias(f"t{t}") for t in thresholds])
-    lines = F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"t{t}").alias("row_count")) for t in thresholds])
-    out = row.select(F.explode(lines).alias("x")).select("x.*")
+    reach = [F.count_if(F.col(count) >= t) for t in thresholds]
     if unique:
-        firsts = df.groupBy(unique).agg(F.max(count).alias(count))
-        out = out.join(threshold_counts(firsts, count, thresholds).withColumnRenamed("row_count", "unique_count"), "threshold")
-    return out
+        keyed = df.select(F.sha2(F.col(unique).cast("string").cast("binary"), 256).alias("_key"), count)
+        firsts = keyed.groupBy("_key").agg(F.max(count).alias(count), *[x.alias(f"r{t}") for x, t in zip(reach, thresholds, strict=True)])
+        row = firsts.agg(*[F.coalesce(F.sum(f"r{t}"), F.lit(0)).alias(f"t{t}") for t in thresholds], *[x.alias(f"u{t}") for x, t in zip(reach, thresholds, strict=True)])
+    else:
+        row = df.agg(*[x.alias(f"t{t}") for x, t in zip(reach, thresholds, strict=True)])
+    lines = F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"t{t}").alias("row_count"), *([F.col(f"u{t}").alias("unique_count")] if unique else [])) for t in thresholds])
+    return row.select(F.explode(lines).alias("x")).select("x.*")
 
 
 def quantiles(df: DataFrame, column: str, at: tuple[float, ...] = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99), exact: bool = True) -> DataFrame:
@@ -99,19 +103,33 @@ def word_ngrams(words: Column, lengths: tuple[int, ...] = (1, 2, 3)) -> Column:
     return F.array_distinct(F.flatten(F.array(*every)))
 
 
+#: Buckets of n-grams whose sizes rule out most of them.
+NGRAM_BUCKETS = 1 << 20
+
+
 def discriminative_ngrams(df: DataFrame, group: str, text: str, top: int = 30, least_docs: int = 20, least_rate: float = 0.02, most_df: float = 0.98, pattern: str = r"(?U)\b\w\w+\b") -> DataFrame:
     """n-grams that are in a greater share of a group's texts than of the others', the clearest first.
 
-    Document frequencies are reduced before the shuffle, and the groups' sizes are few.
+    n-grams fall into buckets by their hash, and an n-gram is in no more of a group's
+    texts than its bucket has n-grams there. Only n-grams of buckets that reach
+    ``least_rate`` in some group can be in the answer; these are few, and only they are
+    counted themselves. Groups' sizes are few.
     """
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(f"({pattern})"), F.lit(1))
     rows = df.where(F.col(group).isNotNull()).select(group, words.alias("_words"))
-    sizes = rows.groupBy(group).agg(F.count("*").alias("group_docs"))
+    sizes = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("group_docs"))
     every = F.sum("group_docs").over(Window.partitionBy())
     sizes = sizes.withColumn("other_docs", every - F.col("group_docs")).withColumn("all_docs", every).where((F.col("group_docs") >= least_docs) & (F.col("other_docs") >= least_docs))
-    counts = rows.select(group, F.explode(word_ngrams(F.col("_words"))).alias("ngram")).groupBy("ngram", group).agg(F.count("*").alias("group_df"))
+    sizes = staged(sizes.coalesce(1), "group-sizes")
+    ngrams = rows.select(group, F.explode(word_ngrams(F.col("_words"))).alias("ngram"))
+    bucket = lambda n: F.pmod(F.xxhash64(n), F.lit(NGRAM_BUCKETS)).cast("int")
+    loads = ngrams.select(group, bucket("ngram").alias("_bucket")).groupBy(group, "_bucket").agg(F.count("*").alias("_load"))
+    full = loads.join(F.broadcast(sizes), group).where(F.col("_load") >= F.col("group_docs") * least_rate * (1 - 1e-9)).select("_bucket").distinct()
+    full = staged(full, "full-buckets")
+    some = ngrams.withColumn("_bucket", bucket("ngram")).join(F.broadcast(full), "_bucket", "left_semi").drop("_bucket")
+    counts = staged(some.groupBy("ngram", group).agg(F.count("*").alias("group_df")), "ngrams")
     totals = counts.groupBy("ngram").agg(F.sum("group_df").alias("all_df"))
-    joined = counts.join(totals, "ngram").join(sizes, group)
+    joined = counts.join(totals, "ngram").join(F.broadcast(sizes), group)
     least_df = F.greatest(F.lit(2), F.least(F.lit(20), F.round(0.001 * F.col("all_docs"))))
     kept = joined.where((F.col("all_df") >= least_df) & (F.col("all_df") <= most_df * F.col("all_docs")))
     rates = kept.withColumns({"group_rate": F.col("group_df") / F.col("group_docs"), "other_rate": (F.col("all_df") - F.col("group_df")) / F.col("other_docs")})
