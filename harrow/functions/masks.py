@@ -7,7 +7,9 @@ a count is computed twice.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harrow.functions import constants as K
@@ -15,6 +17,7 @@ from harrow.functions.normalize import lines, visible
 
 #: Kinds of data set whose claims are restyled.
 RESTYLED = ("article_main", "facturk", "fctr")
+USERS, URLS = r"(?U)(?:<USER>\s*){2,}", r"(?U)(?:<URL>\s*){2,}"
 
 
 def mask_rules(key: str) -> list[tuple[str, str, str]]:
@@ -23,7 +26,7 @@ def mask_rules(key: str) -> list[tuple[str, str, str]]:
     return [
         ("url_masked", K.URL, "<URL>"), ("email_masked", K.EMAIL, "<EMAIL>"), *(tweets if key == "mide22" else []),
         ("source_brand_masked", K.SOURCE_BRAND, "<SOURCE>"), ("agency_signature_removed", K.AGENCY_SIGNATURE, "\n"), ("agency_news_phrase_normalized", K.AGENCY_NEWS, "habere göre"),
-        ("repeated_users_collapsed", r"(?U)(?:<USER>\s*){2,}", "<USER> "), ("repeated_urls_collapsed", r"(?U)(?:<URL>\s*){2,}", "<URL> "),
+        ("repeated_users_collapsed", USERS, "<USER> "), ("repeated_urls_collapsed", URLS, "<URL> "),
         *(("reporter_phrase_normalized", p, to) for p, to in K.REPORTER),
     ]
 
@@ -41,11 +44,24 @@ MASK_COUNTERS = tuple(dict.fromkeys(name for name, _, _ in mask_rules("mide22"))
 RESTYLE_COUNTERS = tuple(dict.fromkeys(name for name, _, _ in restyle_rules("fctr")))
 
 
+#: What a text that a pattern matches has for certain, one of some strings.
+CERTAIN = {
+    K.EMAIL: ("@",), K.MENTION: ("@",), K.HASHTAG: ("#",), K.AGENCY_SIGNATURE: ("(AA)", "(DHA)", "(İHA)"), USERS: ("<USER>",), URLS: ("<URL>",),
+}
+
+
 def apply_rules(df: DataFrame, column: str, rules: list[tuple[str, str, str]], counters: tuple[str, ...]) -> DataFrame:
-    """``column`` rewritten by ``rules``, with one count column for each of ``counters``."""
+    """``column`` rewritten by ``rules``, with one count column for each of ``counters``.
+
+    A text is searched once for each rule, and again only to rewrite what was found.
+    """
     df = df.withColumns({name: F.lit(0) for name in counters})
     for name, pattern, to in rules:
-        df = df.withColumns({name: F.col(name) + F.regexp_count(column, F.lit(pattern)), column: F.regexp_replace(column, pattern, to)})
+        found = F.regexp_count(column, F.lit(pattern))
+        if pattern in CERTAIN:
+            found = F.when(reduce(Column.__or__, [F.contains(column, F.lit(x)) for x in CERTAIN[pattern]]), found).otherwise(0)
+        rewritten = F.when(F.col("_found") > 0, F.regexp_replace(column, pattern, to)).otherwise(F.col(column))
+        df = df.withColumn("_found", found).withColumns({name: F.col(name) + F.col("_found"), column: rewritten}).drop("_found")
     return df
 
 

@@ -5,11 +5,14 @@ from difflib import SequenceMatcher
 from time import perf_counter
 
 import pyarrow as pa
+import pytest
 
 from harrow.functions import constants as K
 from harrow.functions import normalize as N
 from harrow.functions import pages
 from harrow.functions.edits import TokenMatcher, difference
+from harrow.operators import reports
+from harrow.plans import corpus
 
 
 def test_character_classes_hold_the_same_characters_without_chains_of_ranges(spark):
@@ -60,3 +63,40 @@ def test_pages_are_parsed_and_given_back_few_at_once(spark):
     assert [x for p in parts for x in p.to_pylist()] == wanted
     rows = spark.createDataFrame(list(enumerate(html)), "i int, html string").coalesce(1).select("i", pages.page_udf("html").alias("p")).orderBy("i").collect()
     assert [r["p"].asDict() for r in rows] == wanted
+
+
+@pytest.mark.parametrize("buckets", [1, 8, 1 << 20])
+def test_ngrams_are_the_same_however_many_share_a_bucket(spark, monkeypatch, buckets):
+    monkeypatch.setattr(reports, "NGRAM_BUCKETS", buckets)
+    rng = random.Random(9)
+    docs = [(g, " ".join(rng.choice(words) for _ in range(12))) for g, words in (("a", ["one", "two", "three"]), ("b", ["two", "four", "five", "six"])) for _ in range(60)]
+    sets = [(g, {" ".join(w[i : i + n]) for w in [t.split()] for n in (1, 2, 3) for i in range(len(w) - n + 1)}) for g, t in docs]
+    found = reports.discriminative_ngrams(spark.createDataFrame(docs, "g string, t string"), "g", "t", top=1000).collect()
+    wanted = {}
+    for g in "ab":
+        for x in set().union(*(s for h, s in sets if h == g)):
+            mine, all_ = sum(x in s for h, s in sets if h == g), sum(x in s for _, s in sets)
+            if 2 <= all_ <= 0.98 * 120 and mine / 60 >= 0.02 and round(mine / 60 - (all_ - mine) / 60, 6) > 0:
+                wanted[g, x] = mine
+    assert {(r["g"], r["ngram"]): r["group_df"] for r in found} == wanted
+
+
+def test_threshold_counts_read_the_rows_once(spark):
+    reads = spark.sparkContext.accumulator(0)
+    rows = [("x", 30), ("x", 90), (None, 60), (None, 10), ("", 200), ("y", None)]
+
+    def seen(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame(rows, "k string, n int").mapInArrow(seen, "k string, n int")
+    got = {r["threshold"]: (r["row_count"], r["unique_count"]) for r in reports.threshold_counts(df, "n", unique="k").collect()}
+    assert got == {20: (4, 3), 50: (3, 3), 80: (2, 2), 120: (1, 1), 200: (1, 1)} and reads.value == len(rows)
+
+
+def test_a_text_that_destyling_empties_is_an_error_when_it_is_read(spark, monkeypatch):
+    docs = spark.createDataFrame([("plain text",), ("  ",), (None,)], "t string")
+    assert [r["text_destyled"] for r in corpus.destyled(docs, "t", "fctr").collect()] == ["plain text", "", ""]
+    with pytest.raises(Exception, match="emptied a text"):
+        corpus.destyled(spark.createDataFrame([("analiz:",)], "t string"), "t", "fctr").collect()
