@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import chain
 
 from pyspark.sql import Column
@@ -38,24 +39,34 @@ def shortened(c: Column, limit: int = 600) -> Column:
     return F.when(F.length(c) <= limit, c).otherwise(chosen)
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it; no Python function may be in ``f``."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def extracted_claim(c: ColumnOrName, form: bool = True) -> Column:
     """(claim, method) of a fact-check report: what is said before its findings."""
-    report = visible(c, form, newlines=True)
-    cut = F.regexp_instr(report, F.lit(K.REPORT_HEADING))
-    section = F.when(cut > 0, strip(report.substr(F.lit(1), (cut - 1).cast("int")))).otherwise(report)
-    found = F.filter(F.transform(F.split(section, "\n"), squeeze), lambda x: x != "")
-    first = F.try_element_at(found, F.lit(1))
-    two = (F.length(first) < 20) & (F.size(found) > 1)
-    claim = F.when(two, F.concat_ws(" ", first, F.try_element_at(found, F.lit(2)))).otherwise(first)
-    for pattern, to in ((K.CLAIM_PREFIX, ""), (K.URL, "<URL>"), (K.MENTION, "<USER>"), (K.HASHTAG, "$1"), (K.CLAIM_BRAND, "<SOURCE>")):
-        claim = sub(claim, pattern, to)
-    claim = shortened(squeeze(claim))
-    method = F.concat(F.when(cut > 0, F.lit("before_report_heading")).otherwise("first_text_section"), F.when(two, F.lit("_first_two_lines")).otherwise("_first_line"))
-    return (
-        F.when(report == "", F.struct(F.lit("").alias("claim"), F.lit("empty_report").alias("method")))
-        .when(F.size(found) == 0, F.struct(F.lit("").alias("claim"), F.lit("empty_claim_section").alias("method")))
-        .otherwise(F.struct(claim.alias("claim"), method.alias("method")))
-    )
+
+    def of_lines(x: Column) -> Column:
+        first = F.try_element_at(x["found"], F.lit(1))
+        two = (F.length(first) < 20) & (F.size(x["found"]) > 1)
+        claim = F.when(two, F.concat_ws(" ", first, F.try_element_at(x["found"], F.lit(2)))).otherwise(first)
+        for pattern, to in ((K.CLAIM_PREFIX, ""), (K.URL, "<URL>"), (K.MENTION, "<USER>"), (K.HASHTAG, "$1"), (K.CLAIM_BRAND, "<SOURCE>")):
+            claim = sub(claim, pattern, to)
+        method = F.concat(F.when(x["cut"] > 0, F.lit("before_report_heading")).otherwise("first_text_section"), F.when(two, F.lit("_first_two_lines")).otherwise("_first_line"))
+        return (
+            F.when(x["empty"], F.struct(F.lit("").alias("claim"), F.lit("empty_report").alias("method")))
+            .when(F.size(x["found"]) == 0, F.struct(F.lit("").alias("claim"), F.lit("empty_claim_section").alias("method")))
+            .otherwise(F.struct(squeeze(claim).alias("claim"), method.alias("method")))
+        )
+
+    def of_cut(x: Column) -> Column:
+        section = F.when(x["cut"] > 0, strip(x["report"].substr(F.lit(1), (x["cut"] - 1).cast("int")))).otherwise(x["report"])
+        found = F.filter(F.transform(F.split(section, "\n"), squeeze), lambda line: line != "")
+        return let(F.struct(found.alias("found"), x["cut"].alias("cut"), (x["report"] == "").alias("empty")), of_lines)
+
+    x = let(visible(c, form, newlines=True), lambda r: let(F.struct(r.alias("report"), F.regexp_instr(r, F.lit(K.REPORT_HEADING)).alias("cut")), of_cut))
+    return F.struct(shortened(x["claim"]).alias("claim"), x["method"].alias("method"))  # outside, since Spark mixes up an aggregate within a lambda
 
 
 def news_item(c: ColumnOrName, form: bool = True) -> Column:

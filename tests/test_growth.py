@@ -10,6 +10,7 @@ import pytest
 from harrow.functions import constants as K
 from harrow.functions import normalize as N
 from harrow.functions import pages
+from harrow.functions import records as R
 from harrow.functions.edits import TokenMatcher, difference
 from harrow.operators import reports
 from harrow.plans import corpus
@@ -100,3 +101,11 @@ def test_a_text_that_destyling_empties_is_an_error_when_it_is_read(spark, monkey
     assert [r["text_destyled"] for r in corpus.destyled(docs, "t", "fctr").collect()] == ["plain text", "", ""]
     with pytest.raises(Exception, match="emptied a text"):
         corpus.destyled(spark.createDataFrame([("analiz:",)], "t string"), "t", "fctr").collect()
+
+
+def test_a_report_is_searched_for_its_heading_no_more_than_its_columns_need(spark):
+    docs = spark.createDataFrame([("Kısa\nbir iddia burada\nBulgular\nx",), ("",), (None,), ("bulgular: x",), ("y " * 900,)], "t string")
+    out = docs.select(R.extracted_claim("t").alias("c"))
+    assert [r["c"]["method"] for r in out.collect()] == ["before_report_heading_first_two_lines", "empty_report", "empty_report", "empty_claim_section", "first_text_section_first_line"]
+    assert out.collect()[4]["c"]["claim"] == ("y " * 300).strip()
+    assert out._jdf.queryExecution().analyzed().toString().count("regexp_instr") <= 2  # many before
