@@ -153,3 +153,25 @@ def test_texts_unlike_every_reference_in_length_are_not_scored_and_texts_are_rea
     monkeypatch.undo()
     assert [r["l"] for r in real(long, few, words, 0.1, 1, 0.55).collect()] == ["y"]
     assert {r["l"] for r in real(long, few, words, 0.1, 1).collect()} == {"x", "y"}
+
+
+def test_texts_that_meet_in_chunks_are_written_once(spark, monkeypatch):
+    from harrow.operators import grams, similarity
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghı") for _ in range(6)) for _ in range(60)]
+    texts = {}
+    for k in range(240):
+        some = [rng.choice(words) for _ in range(rng.randrange(5, 40))]
+        texts[f"{k:03}a"], texts[f"{k:03}b"] = " ".join(some), " ".join([*some[1:], rng.choice(words)])
+    df = spark.createDataFrame([*texts.items(), ("copy", texts["000a"])], "id string, t string")
+    whole = {tuple(r) for r in similarity.gram_pairs(df, "id", "t", copies=True).collect()}
+    written, real = [], grams.staged
+    monkeypatch.setattr(grams, "staged", lambda x, name, *a: (out := real(x, name, *a), written.append(out.count()))[0])
+    monkeypatch.setattr(grams, "CHUNK_ROWS", 7)
+    assert {tuple(r) for r in similarity.gram_pairs(df, "id", "t", copies=True).collect()} == whole and len(whole) > 100
+    assert sum(written) == len(set(texts.values()))  # by blocks that meet in pairs: many times that
+    one, other = df.where("id like '%a'"), df.where("id like '%b'")
+    across = {tuple(r) for r in similarity.gram_pairs(one, "id", "t", other=other, exact=True).collect()}
+    monkeypatch.setattr(similarity, "FEW_ROWS", 0)
+    assert {tuple(r) for r in similarity.gram_pairs(one, "id", "t", other=other, exact=True).collect()} == across and len(across) > 50
