@@ -175,3 +175,24 @@ def test_texts_that_meet_in_chunks_are_written_once(spark, monkeypatch):
     across = {tuple(r) for r in similarity.gram_pairs(one, "id", "t", other=other, exact=True).collect()}
     monkeypatch.setattr(similarity, "FEW_ROWS", 0)
     assert {tuple(r) for r in similarity.gram_pairs(one, "id", "t", other=other, exact=True).collect()} == across and len(across) > 50
+
+
+def test_simhash_and_counts_of_words_in_one_reading_are_those_of_lists(spark):
+    from pyspark.sql import functions as F
+
+    from harrow.functions import hashing as H
+    from harrow.functions import measures as M
+    from harrow.operators import similarity
+
+    rng = random.Random(6)
+    letters = "abcABCçğıİöşÜÂß0１ΣςΣ <>-'​\n "
+    texts = [None, "", "...", "one", "one two", "a b c", *(" ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 6))) for _ in range(rng.choice([3, 30, 66, 67, 300]))) for _ in range(150))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("_w", N.word_list("t")).withColumn("_f", H.shingles(F.col("_w")))
+    got = similarity.with_simhash(df, "t")
+    for r in got.withColumns({"s": H.simhash_of(F.col("_f")), "n": F.size("_w")}).collect():
+        assert (r["simhash"], r["word_count"]) == (r["s"], r["n"])
+    plan = got.select("simhash")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "lambda" not in plan
+    words = F.regexp_extract_all(F.coalesce("t", F.lit("")), F.lit(f"({M.WORD_PATTERNS['letters_digits']})"), F.lit(1))
+    counted = df.select(M.counted_words("t").alias("c"), words.alias("w")).select("c.*", F.size("w").alias("n"), M.share(F.col("c.distinct"), F.col("c.words")).alias("u"), M.unique_word_ratio(F.col("w")).alias("v"))
+    assert all(r["words"] == r["n"] and r["u"] == r["v"] for r in counted.collect())
