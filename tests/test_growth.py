@@ -1,6 +1,7 @@
 """What a review found of queries' growth: the same results by cheaper steps."""
 
 import random
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 from time import perf_counter
 
@@ -196,3 +197,27 @@ def test_simhash_and_counts_of_words_in_one_reading_are_those_of_lists(spark):
     words = F.regexp_extract_all(F.coalesce("t", F.lit("")), F.lit(f"({M.WORD_PATTERNS['letters_digits']})"), F.lit(1))
     counted = df.select(M.counted_words("t").alias("c"), words.alias("w")).select("c.*", F.size("w").alias("n"), M.share(F.col("c.distinct"), F.col("c.words")).alias("u"), M.unique_word_ratio(F.col("w")).alias("v"))
     assert all(r["words"] == r["n"] and r["u"] == r["v"] for r in counted.collect())
+
+
+def test_pages_come_to_python_in_batches_that_do_not_grow_with_the_table(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from harrow.functions import pages
+    from harrow.plans import evaluation
+
+    sizes = f"{tmp_path}/sizes"
+
+    def noted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            with open(sizes, "a") as f:
+                f.write(f"{len(b)}\n")
+            yield from pages.facts_of(iter([b]))
+
+    monkeypatch.setattr(pages, "page_udf", F.arrow_udf(noted, pages.struct_of(pages.PAGE_SCHEMA)))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    df = spark.range(300).select(F.col("id").alias("page_id"), F.lit("https://a.b/c/d").alias("url"), F.lit("<p>text</p>").alias("html")).coalesce(1)
+    assert evaluation.scored_pages(df, lambda t: F.lit(0.5)).count() == 300
+    read = [int(x) for x in open(sizes)]
+    assert sum(read) >= 300 and max(read) <= pages.PAGES_AT_ONCE
+    assert spark.conf.get(key) == before
