@@ -221,3 +221,40 @@ def test_pages_come_to_python_in_batches_that_do_not_grow_with_the_table(spark,
     read = [int(x) for x in open(sizes)]
     assert sum(read) >= 300 and max(read) <= pages.PAGES_AT_ONCE
     assert spark.conf.get(key) == before
+
+
+def test_page_articles_too_come_to_python_in_batches_that_do_not_grow_with_the_table(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from harrow import queries
+    from harrow.functions import pages
+
+    sizes = f"{tmp_path}/sizes"
+
+    def noted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            with open(sizes, "a") as f:
+                f.write(f"{len(b)}\n")
+            yield from pages.facts_of(iter([b]))
+
+    monkeypatch.setattr(pages, "page_udf", F.arrow_udf(noted, pages.struct_of(pages.PAGE_SCHEMA)))
+    spark.range(600).select(F.col("id").alias("page_id"), F.lit("https://a.b/c/d").alias("url"), F.lit("<p>text</p>").alias("html")).coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    found = queries.QUERIES["page_articles"](spark, str(tmp_path))
+    assert found.count() == 600 and found.count() == 600
+    read = [int(x) for x in open(sizes)]
+    assert sum(read) == 600 and max(read) <= pages.PAGES_AT_ONCE
+
+
+def test_memory_of_a_page_grows_no_faster_than_its_depth():
+    import tracemalloc
+
+    from harrow.functions.pages import page_facts
+
+    def peak(depth: int) -> int:
+        tracemalloc.start()
+        page_facts("<article>a" * depth + "<p>" + "text " * 20)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    assert peak(2000) < 3 * peak(1000)
